@@ -30,6 +30,7 @@ from zonewise.functions.ids import state_of
 from zonewise.lookups import NON_CONTIGUOUS_FIPS
 from zonewise.operators.geometry import area as polygon_area
 from zonewise.operators.scale import HOT_KEYS, is_small, spread_join
+from zonewise.session import cut_lineage
 
 PIECE = ["s", "xl", "yl", "xr", "yr"]
 # A cell is cut again where the pieces of both sides would meet in more pairs.
@@ -124,15 +125,27 @@ def _cut_rows(columns: DataFrame, keep: Sequence[str], size: Column) -> DataFram
             top.alias("yr"),
         ),
     )
-    parts = rows.select(*keep, "c", F.explode(F.array_compact(F.array(part, lid))).alias("p"))
+    parts = rows.select(*keep, "c", F.explode(F.array(part, lid)).alias("p"))
     flat = parts.select(*keep, "c", *(F.col(f"p.{n}").alias(n) for n in ("r", *PIECE)))
-    return flat.where((F.col("xl") < F.col("xr")) | (F.col("yl") < F.col("yr")))
+    # A steep falling part may be left without width: turn it lower end first.
+    turned = (F.col("xl") == F.col("xr")) & (F.col("yl") > F.col("yr"))
+    return flat.where((F.col("xl") < F.col("xr")) | (F.col("yl") != F.col("yr"))).select(
+        *keep,
+        "c",
+        "r",
+        F.when(turned, -F.col("s")).otherwise(F.col("s")).alias("s"),
+        "xl",
+        F.least("yl", F.when(turned, F.col("yr"))).alias("yl"),
+        "xr",
+        F.greatest("yr", F.when(turned, F.col("yl"))).alias("yr"),
+    )
 
 
-def _corner_lids(columns: DataFrame, keep: Sequence[str], size: Column) -> DataFrame:
+def _corner_lids(columns: DataFrame, keep: Sequence[str], size: Column, bounded: bool) -> DataFrame:
     """Whole-top lids of the cells whose top left corner is inside.
 
-    A grid column of one polygon has at most as many rows here as the grid has in
+    The outline of a whole polygon closes below its lowest crossing; what was cut
+    to a cell before (``bounded``) may reach down to the cell's own floor. A grid column of one polygon has at most as many rows here as the grid has in
     its height, after aggregation.
     """
     starts = (
@@ -148,8 +161,8 @@ def _corner_lids(columns: DataFrame, keep: Sequence[str], size: Column) -> DataF
         "__row",
         "__size",
         F.sum("__s").over(downwards.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("s"),
-        F.lead("__row").over(downwards).alias("__below"),
-    ).where((F.col("s") != 0) & F.col("__below").isNotNull())
+        (F.lead("__row", 1, 0) if bounded else F.lead("__row")).over(downwards).alias("__below"),
+    ).where((F.col("s") != 0) & (F.col("__below") < F.col("__row")))
     return runs.select(
         *keep,
         "c",
@@ -162,9 +175,9 @@ def _corner_lids(columns: DataFrame, keep: Sequence[str], size: Column) -> DataF
     )
 
 
-def _cut(pieces: DataFrame, keep: Sequence[str], size: Column) -> DataFrame:
+def _cut(pieces: DataFrame, keep: Sequence[str], size: Column, bounded: bool = False) -> DataFrame:
     columns = _cut_columns(pieces, keep, size)
-    return _cut_rows(columns, keep, size).unionByName(_corner_lids(columns, keep, size))
+    return _cut_rows(columns, keep, size).unionByName(_corner_lids(columns, keep, size, bounded))
 
 
 def tile(edges: DataFrame, cell: float, by: Sequence[str] = ("id",)) -> DataFrame:
@@ -189,7 +202,7 @@ def _refine(tiles: DataFrame, crowded: DataFrame, keep: Sequence[str], place: Se
     )
     carried = [*keep, "__c", "__r", "cuts"]
     again = marked.where(F.col("cuts").isNotNull()).withColumnsRenamed({"c": "__c", "r": "__r"})
-    fine = _cut(again.select(*carried, *PIECE), carried, F.lit(float(cell)) / F.col("cuts"))
+    fine = _cut(again.select(*carried, *PIECE), carried, F.lit(float(cell)) / F.col("cuts"), bounded=True)
     fine = fine.withColumnsRenamed({"c": "fc", "r": "fr"}).withColumnsRenamed({"__c": "c", "__r": "r"})
     return calm.unionByName(fine.select(calm.columns))
 
@@ -201,12 +214,14 @@ def _crowded(a: DataFrame, b: DataFrame, place: Sequence[str], limit: int) -> Da
     )
     met = both.groupBy(*place).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     pairs = F.col("na").cast("double") * F.col("nb")
-    cuts = F.ceil(F.sqrt(F.greatest("na", "nb") / F.lit(TARGET_PIECES)))
+    # A power of two, so that the finer grid lines add up to the cell exactly.
+    halvings = F.ceil(F.log2(F.sqrt(F.greatest("na", "nb") / F.lit(TARGET_PIECES))))
+    cuts = F.pow(F.lit(2.0), F.greatest(halvings, F.lit(1)))
     return (
         met.where(pairs > limit)
         .orderBy(F.desc(pairs), *place)
         .limit(HOT_KEYS)
-        .select(*place, F.least(F.greatest(cuts, F.lit(2)), F.lit(MAX_CUTS)).cast("int").alias("cuts"))
+        .select(*place, F.least(cuts, F.lit(MAX_CUTS)).cast("int").alias("cuts"))
     )
 
 
@@ -259,6 +274,7 @@ def overlap_area(
     a = tile(zones, cell, [*within, "id"]).withColumnRenamed("id", zone)
     b = tile(systems, cell, [*within, "id"]).withColumnRenamed("id", system)
     if not is_small(zones, systems):
+        a, b = cut_lineage(a), cut_lineage(b)
         crowded = _crowded(a, b, place, crowded_pairs)
         a = _refine(a, crowded, [*within, zone], place, cell)
         b = _refine(b, crowded, [*within, system], place, cell)
