@@ -226,7 +226,7 @@ from bg_pws where pwsid in (select pwsid from measures) group by geoid, pwsid"""
     "weighted": """
 select *, value * wgt_normalized as bg_wgt_pop from (
   select *, case when wgt_sum > 1 then wgt / wgt_sum else wgt end as wgt_normalized from (
-    select *, sum(wgt) over (partition by geoid) as wgt_sum from (
+    select *, sum(overlap_area) over (partition by geoid) / zone_area as wgt_sum from (
       select *, overlap_area / zone_area as wgt from pairs)))""",
     "served": """
 select substr(geoid, 1, 11) as tract_geoid, pwsid, sum(bg_wgt_pop) as bg_wgt_pop, sum(value) as total_unwgt_pop

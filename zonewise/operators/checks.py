@@ -54,9 +54,9 @@ def get_dupes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def distinct_keep(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First whole row of each key in the given order (which should break all ties).
+    """First whole row of each key in ascending order (which should break all ties).
 
-    An aggregation rather than a ranking window: it combines on the map side.
+    A negated number puts large values first. An aggregation rather than a ranking window: it combines on the map side.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]

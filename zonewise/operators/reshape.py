@@ -34,11 +34,10 @@ def parse_measure(long: DataFrame, measures: str = "measures") -> DataFrame:
     The digits after the first underscore belong to the contaminant's name.
     """
     glued = F.regexp_replace(F.col(measures), r"^([a-zA-Z]+)_(\d+)", "$1$2")
-    parts = F.split(glued, "_")
-    stat = F.get(parts, 1)
+    stat = F.split_part(glued, F.lit("_"), F.lit(2))
     return long.withColumns(
         {
-            "contaminant": F.get(parts, 0),
+            "contaminant": F.split_part(glued, F.lit("_"), F.lit(1)),
             "stat_clean": F.when(stat == "detectpws", "detect_level")
             .when(stat.contains("max"), "max")
             .otherwise("median"),

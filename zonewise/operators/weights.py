@@ -54,9 +54,11 @@ def areal_weights(
     value: str = "value",
 ) -> DataFrame:
     """Add ``wgt``, ``wgt_sum``, ``wgt_normalized`` and ``bg_wgt_pop`` to each pair."""
+    # Areas are added before dividing: a zone exactly filled then sums to exactly 1.
     weighted = pairs.withColumn("wgt", ratio(F.col(overlap), F.col(zone_area)))
     return (
-        attach_totals(weighted, [zone], wgt_sum=F.sum("wgt"))
+        attach_totals(weighted, [zone], wgt_sum=F.sum(overlap))
+        .withColumn("wgt_sum", ratio(F.col("wgt_sum"), F.col(zone_area)))
         .withColumn("wgt_normalized", capped_weight(F.col("wgt"), F.col("wgt_sum")))
         .withColumn("bg_wgt_pop", F.col(value) * F.col("wgt_normalized"))
     )
