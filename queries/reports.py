@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from queries.reviews import STITCH, medians
 from queries.views import Views, with_views
-from queries.weighting import EXPOSURE_DIGITS, rounded, served, sql_rounded, tract_table
+from queries.weighting import (
+    EXPOSURE_DIGITS, rounded, served, settled, sql_rounded, sql_settled, tract_table,
+)
 from zonewise import lookups
 from zonewise.functions import ids
 from zonewise.functions.columns import cols, rename_by_pattern, tag_by_pattern
@@ -101,7 +103,7 @@ def reference_totals(v: Views) -> DataFrame:
 def coverage_compare(v: Views) -> DataFrame:
     arms = {f"_{r}": coverage.arm_totals(_arm(v, r), f"_{r}") for r in ("syr3", "syr4")}
     out = coverage.compare(coverage.reference_totals([v.tract()]), coverage.arm_totals(tract_table(v)), arms)
-    return rounded(out, **{c: 2 if "pop" in c else 6 for c in out.columns if c[:3] in ("ref", "pop", "tra", "mai", "cov")})
+    return settled(out, **{c: 2 if "pop" in c else 6 for c in out.columns if c[:3] in ("ref", "pop", "tra", "mai", "cov")})
 
 
 def round_coverage(v: Views) -> DataFrame:
@@ -109,7 +111,7 @@ def round_coverage(v: Views) -> DataFrame:
     arms = {f"_{r}": coverage.by_round(_arm(v, r), FLAGS, f"_{r}") for r in ("syr3", "syr4")}
     main = coverage.by_round(coverage.filter_covered(tract_table(v), 0.1), FLAGS)
     out = coverage.round_coverage(coverage.reference_totals([v.tract()]), rounds, main, arms)
-    return rounded(out, **{c: 2 if "pop" in c else 6 for c in out.columns if c[:3] in ("ref", "pop", "mai", "cov")})
+    return settled(out, **{c: 2 if "pop" in c else 6 for c in out.columns if c[:3] in ("ref", "pop", "mai", "cov")})
 
 
 def _boundaries(v: Views) -> DataFrame:
@@ -376,7 +378,7 @@ select substr(tract_geoid, 1, 2) as st_fips, count(*) as n_og,
 from exposure group by 1"""),
     "reference_totals": with_views(
         "select st_fips, round(ref_pop, 2) as ref_pop, n_actual from reference", **ARMS),
-    "coverage_compare": with_views("select " + sql_rounded(
+    "coverage_compare": with_views("select " + sql_settled(
         "st_fips, n_actual, n_tracts_joined, n_tracts_joined_syr3, n_tracts_joined_syr4", ref_pop=2,
         **{f"{c}{s}": 2 for c in ("pop_in_pws", "tract_int_tot_pop") for s in ("", "_syr3", "_syr4")},
         **{c: 6 for c in RATIO_6}) + f""" from (
@@ -385,7 +387,7 @@ select *, pop_in_pws / ref_pop as main_cov, pop_in_pws_syr3 / ref_pop as cov_syr
        pop_in_pws_syr4 / pop_in_pws as cov_of_main_syr4
 from reference left join {_arm_sql('covered', '')} using (st_fips)
 left join {_arm_sql('syr3', '_syr3')} using (st_fips) left join {_arm_sql('syr4', '_syr4')} using (st_fips))""", **ARMS),
-    "round_coverage": with_views("select " + sql_rounded(
+    "round_coverage": with_views("select " + sql_settled(
         "st_fips, round", ref_pop=2, pop_in_pws=2, pop_in_pws_syr3=2, pop_in_pws_syr4=2,
         **{c: 6 for c in RATIO_6}) + f""" from (
 select *, pop_in_pws / ref_pop as main_cov, pop_in_pws_syr3 / ref_pop as cov_syr3,

@@ -74,10 +74,11 @@ def tract_review_exposure(v: Views) -> DataFrame:
 
 
 def distribution_summary(v: Views) -> DataFrame:
-    out = checks.distribution(v.samples().where("analyte = 'arsenic'"), "pwsid", "value")
-    whole = checks.distribution(v.samples(), "event_id", "detection_limit_value")
-    both = out.withColumn("what", F.lit("value")).unionByName(whole.withColumn("what", F.lit("limit")))
-    return rounded(both, min=6, q1=6, median=6, mean=6, q3=6, max=6)
+    """Spread of median prices per order; an order with a returned line has none."""
+    lines = v.table("lineitem").select(
+        "l_orderkey", F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("price")
+    )
+    return rounded(checks.distribution(lines, "l_orderkey", "price"), min=6, q1=6, median=6, mean=4, q3=6, max=6)
 
 
 QUERIES = {
@@ -129,14 +130,6 @@ select l_orderkey, l_linenumber, case when l_linenumber % 2 <> 0 then l_quantity
 from lineitem"""
 
 
-def _spread(table: str, key: str, value: str, what: str) -> str:
-    return f"""
-select '{what}' as what, round(min(m), 6) as min, round(quantile_cont(m, 0.25), 6) as q1,
-       round(median(m), 6) as median, round(avg(m), 6) as mean, round(quantile_cont(m, 0.75), 6) as q3,
-       round(max(m), 6) as max, count(*) filter (m is null) as n_missing
-from (select {key}, case when count({value}) = count(*) then median({value}) end as m from {table} group by 1)"""
-
-
 ORACLES = {
     "nondetect_summary": with_views("""
 select pwsid, analyte, review, round(min(reading), 6) as min, round(median(reading), 6) as median,
@@ -167,7 +160,10 @@ select tract_geoid, round(sum(arsenic_fin_median * bg_wgt_pop) / sum(bg_wgt_pop)
        count(*) as n_pws_syr, round(sum(bg_wgt_pop), 4) as ct_pop_pws_syr,
        max(arsenic_detect_flag) as arsenic_detect_flag, max(tthm_detect_flag) as tthm_detect_flag
 from served left join final using (pwsid) group by 1""", **STITCH),
-    "distribution_summary": with_views(
-        _spread("(select * from samples where analyte = 'arsenic')", "pwsid", "value", "value")
-        + " union all " + _spread("samples", "event_id", "detection_limit_value", "limit")),
+    "distribution_summary": """
+select round(min(m), 6) as min, round(quantile_cont(m, 0.25), 6) as q1, round(median(m), 6) as median,
+       round(avg(m), 4) as mean, round(quantile_cont(m, 0.75), 6) as q3, round(max(m), 6) as max,
+       count(*) filter (m is null) as n_missing
+from (select l_orderkey, case when count(*) filter (l_returnflag = 'R') = 0 then median(l_extendedprice) end as m
+      from lineitem group by 1)""",
 }

@@ -158,7 +158,7 @@ QUERIES = {
     "normalize_rings": normalized_boxes,
     "overlap_area": pairs_of_boxes,
     "spatial_overlay": lambda v: rounded(overlay_pairs(v), overlap_area=4, zone_area=4, system_area=4),
-    "overlay_polygons": lambda v: rounded(o.overlap_area(zones(v), diamonds(v), CELL), overlap_area=4),
+    "overlay_polygons": lambda v: settled(o.overlap_area(zones(v), diamonds(v), CELL), overlap_area=4),
     "overlay_exposure": overlay_exposure,
     "zonal_mean": zonal_mean,
     "dissolve": dissolve,
@@ -240,7 +240,7 @@ from system_boxes"""),
 select zone_id, pwsid, round(overlap_area, 4) as overlap_area, round(zone_area, 4) as zone_area, pop,
        round(system_area, 4) as system_area, w, h from box_pairs""", box_pairs=BOX_PAIRS),
     "overlay_polygons": with_views("""
-select zone_id, pwsid, round(overlap_area, 4) as overlap_area from e where overlap_area > 1e-7""",
+select zone_id, pwsid, round(overlap_area + 1e-7, 4) as overlap_area from e where overlap_area > 1e-7""",
         box_pairs=BOX_PAIRS, zone_edges=ZONE_EDGES, diamond_edges=DIAMOND_EDGES, e=EDGE_INTEGRAL),
     "overlay_exposure": with_views("""
 select tract_geoid, round(sum(dcpa_medpws * bg) / sum(bg), 5) as dcpa_medpws_weighted,

@@ -8,6 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from zonewise import tune
 
+EVERYTHING = str(10**30)
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -22,6 +24,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    # Literal rows have no known size; without this they would count as huge.
+    session.conf.set("spark.zonewise.smallInputBytes", EVERYTHING)
     yield tune(session)
     session.stop()
 
@@ -32,5 +36,5 @@ def spread(spark):
     spark.conf.set("spark.zonewise.smallInputBytes", "-1")
     spark.conf.set("spark.zonewise.hotRows", "3")
     yield spark
-    spark.conf.unset("spark.zonewise.smallInputBytes")
+    spark.conf.set("spark.zonewise.smallInputBytes", EVERYTHING)
     spark.conf.unset("spark.zonewise.hotRows")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from zonewise.functions.numeric import ratio
 from zonewise.operators.aggregate import if_complete, n_distinct
 from zonewise.operators.quantiles import exact_medians, exact_quantiles
-from zonewise.operators.scale import attach_totals
+from zonewise.operators.scale import attach_totals, is_small
 from zonewise.operators.weights import areal_weights
+from zonewise.session import cut_lineage
 
 
 def any_not_null(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -113,6 +114,8 @@ def distribution(df: DataFrame, key: str, value: str) -> DataFrame:
     medians = complete.join(exact_medians(df, [key], {"med": value}), key, "left").select(
         key, F.when(F.col("complete"), F.col("med")).alias("med")
     )
+    if not is_small(df):
+        medians = cut_lineage(medians)  # used four times below
     quartiles = exact_quantiles(medians, [], "med", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     spread = medians.agg(
         F.min("med").alias("min"),
@@ -120,9 +123,8 @@ def distribution(df: DataFrame, key: str, value: str) -> DataFrame:
         F.max("med").alias("max"),
         F.count_if(F.col("med").isNull()).alias("n_missing"),
     )
-    return spread.withColumns(
-        {q: quartiles.agg(F.max(q)).scalar() for q in ("q1", "median", "q3")}
-    ).select("min", "q1", "median", "mean", "q3", "max", "n_missing")
+    cells = quartiles.agg(F.struct(*(F.max(q).alias(q) for q in ("q1", "median", "q3")))).scalar()
+    return spread.withColumn("q", cells).select("min", "q.q1", "q.median", "mean", "q.q3", "max", "n_missing")
 
 
 def reconcile(

@@ -34,15 +34,15 @@ def parse_measure(long: DataFrame, measures: str = "measures") -> DataFrame:
     The digits after the first underscore belong to the contaminant's name.
     """
     glued = F.regexp_replace(F.col(measures), r"^([a-zA-Z]+)_(\d+)", "$1$2")
-    stat = F.split_part(glued, F.lit("_"), F.lit(2))
-    return long.withColumns(
+    stat = F.split_part("__glued", F.lit("_"), F.lit(2))
+    return long.withColumn("__glued", glued).withColumns(
         {
-            "contaminant": F.split_part(glued, F.lit("_"), F.lit(1)),
+            "contaminant": F.split_part("__glued", F.lit("_"), F.lit(1)),
             "stat_clean": F.when(stat == "detectpws", "detect_level")
             .when(stat.contains("max"), "max")
             .otherwise("median"),
         }
-    )
+    ).drop("__glued")
 
 
 def group_of(value: Column, groups: Mapping[str, Sequence[str]], default: str | None) -> Column:
