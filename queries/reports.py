@@ -79,14 +79,20 @@ def pattern_columns(v: Views) -> DataFrame:
 # Coverage ------------------------------------------------------------------
 
 
-def _arm(v: Views, review: str) -> DataFrame:
-    parts = medians(v, keep=True)
-    known = checks_all_known(parts, [f"median_arsenic_{review}", f"median_tthm_{review}"])
-    return coverage.tracts_served_by(served(v), known, tract_table(v))
+ARM_NAMES = ["syr3", "syr4"]
 
 
-def checks_all_known(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.dropna(how="any", subset=names)
+def _with_arms(v: Views) -> DataFrame:
+    """Tract exposure marked with the review rounds its systems have both medians for."""
+    parts = medians(v, keep=True)
+    known = parts.select(
+        "pwsid",
+        *(
+            (F.col(f"median_arsenic_{r}").isNotNull() & F.col(f"median_tthm_{r}").isNotNull()).alias(r)
+            for r in ARM_NAMES
+        ),
+    )
+    return coverage.with_arms(tract_table(v), served(v), known, ARM_NAMES)
 
 
 def retention_by_state(v: Views) -> DataFrame:
@@ -101,16 +107,15 @@ def reference_totals(v: Views) -> DataFrame:
 
 
 def coverage_compare(v: Views) -> DataFrame:
-    arms = {f"_{r}": coverage.arm_totals(_arm(v, r), f"_{r}") for r in ("syr3", "syr4")}
-    out = coverage.compare(coverage.reference_totals([v.tract()]), coverage.arm_totals(tract_table(v)), arms)
+    totals = coverage.arm_totals(_with_arms(v), ARM_NAMES)
+    out = coverage.compare(coverage.reference_totals([v.tract()]), totals, ARM_NAMES)
     return settled(out, **{c: 2 if "pop" in c else 6 for c in out.columns if c[:3] in ("ref", "pop", "tra", "mai", "cov")})
 
 
 def round_coverage(v: Views) -> DataFrame:
     rounds = sorted({label for _, label in lookups.ROUND_RULES} | {lookups.OTHER_ROUND})
-    arms = {f"_{r}": coverage.by_round(_arm(v, r), FLAGS, f"_{r}") for r in ("syr3", "syr4")}
-    main = coverage.by_round(coverage.filter_covered(tract_table(v), 0.1), FLAGS)
-    out = coverage.round_coverage(coverage.reference_totals([v.tract()]), rounds, main, arms)
+    totals = coverage.by_round(coverage.filter_covered(_with_arms(v), 0.1), FLAGS, ARM_NAMES)
+    out = coverage.round_coverage(coverage.reference_totals([v.tract()]), rounds, totals, ARM_NAMES)
     return settled(out, **{c: 2 if "pop" in c else 6 for c in out.columns if c[:3] in ("ref", "pop", "mai", "cov")})
 
 

@@ -24,6 +24,7 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     # Literal rows have no known size; without this they would count as huge.
     session.conf.set("spark.zonewise.smallInputBytes", EVERYTHING)
     yield tune(session)

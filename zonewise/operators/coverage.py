@@ -36,78 +36,84 @@ def reference_totals(zones: Sequence[DataFrame], geoid: str = "tract_geoid", val
     return every.groupBy(by_state(geoid)).agg(F.sum(value).alias("ref_pop"), F.count(F.lit(1)).alias("n_actual"))
 
 
-def arm_totals(exposure: DataFrame, suffix: str = "", threshold: float = 0.1) -> DataFrame:
-    """Served and total population by state of the covered tracts of one arm."""
-    return filter_covered(exposure, threshold).groupBy(by_state()).agg(
-        F.sum("ct_pop_pws").alias(f"pop_in_pws{suffix}"),
-        F.sum("tract_total_pop").alias(f"tract_int_tot_pop{suffix}"),
-        F.count(F.lit(1)).alias(f"n_tracts_joined{suffix}"),
-    )
+def with_arms(
+    exposure: DataFrame, served: DataFrame, systems: DataFrame, arms: Sequence[str], system: str = "pwsid"
+) -> DataFrame:
+    """Mark the tracts served by at least one system of each arm.
+
+    ``systems`` holds (system, arm...) with one boolean column per arm. All arms
+    share one join and one aggregation.
+    """
+    marked = served.select("tract_geoid", system).join(systems.select(system, *arms), system)
+    per_tract = marked.groupBy("tract_geoid").agg(*(F.bool_or(a).alias(a) for a in arms))
+    return exposure.join(per_tract, "tract_geoid", "left")
 
 
-def tracts_served_by(
-    served: DataFrame, systems: DataFrame, exposure: DataFrame, system: str = "pwsid", threshold: float = 0.1
-) -> DataFrame:
-    """Covered tracts of ``exposure`` served by at least one of ``systems``."""
-    tracts = served.join(systems.select(system), system, "left_semi").select("tract_geoid")
-    return filter_covered(exposure, threshold).join(tracts, "tract_geoid", "left_semi")
+def arm_totals(exposure: DataFrame, arms: Sequence[str] = (), threshold: float = 0.1) -> DataFrame:
+    """Served and total population by state of covered tracts, in all and per arm."""
 
+    def totals(member: Column, suffix: str) -> list[Column]:
+        return [
+            F.sum(F.when(member, F.col("ct_pop_pws"))).alias(f"pop_in_pws{suffix}"),
+            F.sum(F.when(member, F.col("tract_total_pop"))).alias(f"tract_int_tot_pop{suffix}"),
+            F.nullif(F.count_if(member), F.lit(0)).alias(f"n_tracts_joined{suffix}"),
+        ]
 
-def compare(reference: DataFrame, main: DataFrame, arms: Mapping[str, DataFrame]) -> DataFrame:
-    """Main coverage, and each arm's coverage against the reference and against main.
+    columns = totals(F.lit(True), "")
+    for arm in arms:
+        columns += totals(F.col(arm), f"_{arm}")
+    return filter_covered(exposure, threshold).groupBy(by_state()).agg(*columns)
 
-    ``arms`` maps a suffix such as ``_syr`` to its ``arm_totals``.
-    """
-    table = reference.join(main, "st_fips", "left")
-    for arm in arms.values():
-        table = table.join(arm, "st_fips", "left")
-    ratios = {"main_cov": ratio(F.col("pop_in_pws"), F.col("ref_pop"))}
-    for suffix in arms:
-        part = F.col(f"pop_in_pws{suffix}")
-        ratios[f"cov{suffix}"] = ratio(part, F.col("ref_pop"))
-        ratios[f"cov_of_main{suffix}"] = ratio(part, F.col("pop_in_pws"))
-    return table.withColumns(ratios)
+
+def _ratios(arms: Sequence[str]) -> dict[str, Column]:
+    main = F.col("pop_in_pws")
+    ratios = {"main_cov": ratio(main, F.col("ref_pop"))}
+    for arm in arms:
+        part = F.col(f"pop_in_pws_{arm}")
+        ratios[f"cov_{arm}"] = ratio(part, F.col("ref_pop"))
+        ratios[f"cov_of_main_{arm}"] = ratio(part, main)
+    return ratios
+
+
+def compare(reference: DataFrame, totals: DataFrame, arms: Sequence[str]) -> DataFrame:
+    """Main coverage, and each arm's coverage against the reference and against main."""
+    return reference.join(totals, "st_fips", "left").withColumns(_ratios(arms))
 
 
 def grid(spine: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """Every distinct row of ``spine`` with each of the given ``values``."""
+    """Every distinct row of ``spine`` with each of the given (few) ``values``."""
     return spine.distinct().withColumn(column, F.explode(F.array(*(F.lit(v) for v in values))))
 
 
-def by_round(exposure: DataFrame, flags: Sequence[str], suffix: str = "") -> DataFrame:
+def by_round(exposure: DataFrame, flags: Sequence[str], arms: Sequence[str] = ()) -> DataFrame:
     """Served population by (state, measurement round) of tracts with any known flag.
 
     The rounds of one tract are found in its own row, so tracts are neither
-    unpivoted into the shuffle nor deduplicated there.
+    unpivoted into the shuffle nor deduplicated there. ``arms`` names boolean
+    columns to total apart.
     """
     rounds = F.array_distinct(
         F.array_compact(F.array(*(F.when(F.col(f).isNotNull(), round_of(F.lit(f))) for f in flags)))
     )
+    served = F.col("ct_pop_pws")
     return (
-        exposure.select(by_state(), F.explode(rounds).alias("round"), "ct_pop_pws")
+        exposure.select(by_state(), F.explode(rounds).alias("round"), "ct_pop_pws", *arms)
         .groupBy("st_fips", "round")
-        .agg(F.sum("ct_pop_pws").alias(f"pop_in_pws{suffix}"))
+        .agg(
+            F.sum(served).alias("pop_in_pws"),
+            *(F.sum(F.when(F.col(a), served)).alias(f"pop_in_pws_{a}") for a in arms),
+        )
     )
 
 
-def round_coverage(
-    reference: DataFrame, rounds: Sequence[str], main: DataFrame, arms: Mapping[str, DataFrame]
-) -> DataFrame:
-    """``by_round`` results of all arms on the full (state, round) grid; gaps are 0."""
-    keys = ["st_fips", "round"]
-    table = grid(reference.select("st_fips"), "round", rounds).join(main, keys, "left")
-    for arm in arms.values():
-        table = table.join(arm, keys, "left")
-    table = table.join(reference.select("st_fips", "ref_pop"), "st_fips", "left")
-    zero = {"pop_in_pws": F.coalesce("pop_in_pws", F.lit(0.0))}
-    zero |= {f"pop_in_pws{s}": F.coalesce(f"pop_in_pws{s}", F.lit(0.0)) for s in arms}
-    table = table.withColumns(zero)
-    ratios = {"main_cov": ratio(F.col("pop_in_pws"), F.col("ref_pop"))}
-    for s in arms:
-        part = F.col(f"pop_in_pws{s}")
-        ratios[f"cov{s}"] = ratio(part, F.col("ref_pop"))
-        ratios[f"cov_of_main{s}"] = F.when(F.col("pop_in_pws") > 0, ratio(part, F.col("pop_in_pws")))
-    return table.withColumns(ratios)
+def round_coverage(reference: DataFrame, rounds: Sequence[str], totals: DataFrame, arms: Sequence[str]) -> DataFrame:
+    """``by_round`` totals on the full (state, round) grid; gaps are 0."""
+    table = grid(reference.select("st_fips", "ref_pop"), "round", rounds).join(totals, ["st_fips", "round"], "left")
+    filled = {c: F.coalesce(c, F.lit(0.0)) for c in ("pop_in_pws", *(f"pop_in_pws_{a}" for a in arms))}
+    ratios = _ratios(arms)
+    for arm in arms:
+        ratios[f"cov_of_main_{arm}"] = F.when(F.col("pop_in_pws") > 0, ratios[f"cov_of_main_{arm}"])
+    return table.withColumns(filled).withColumns(ratios)
 
 
 def by_agency_type(
