@@ -15,7 +15,7 @@ from zonewise.functions import ids
 from zonewise.functions.columns import cols, rename_by_pattern, tag_by_pattern
 from zonewise.functions.numeric import round_numeric, zero_fill
 from zonewise.operators import checks, coverage, reshape
-from zonewise.operators.quantiles import exact_quantiles
+from zonewise.operators.quantiles import exact_medians
 from zonewise.plans import tables
 
 FLAGS = ["dcpa_detectpws", "pfoa_35_detectpws"]
@@ -136,10 +136,8 @@ def coverage_by_type(v: Views) -> DataFrame:
 
 def conditional_median(v: Views) -> DataFrame:
     out = coverage.by_agency_type(v.master(), _boundaries(v), _sampled(v)).where("type_code = 'CWS'")
-    a = exact_quantiles(out, [], "arsenic_pop_comp", {"arsenic_median": 0.5})
-    t = exact_quantiles(out, [], "tthm_pop_comp", {"tthm_median": 0.5})
-    joined = a.withColumn("tthm_median", t.agg(F.max("tthm_median")).scalar())
-    return rounded(joined, arsenic_median=6, tthm_median=6)
+    medians_of = {"arsenic_median": "arsenic_pop_comp", "tthm_median": "tthm_pop_comp"}
+    return rounded(exact_medians(out, [], medians_of), arsenic_median=6, tthm_median=6)
 
 
 def threshold_filter(v: Views) -> DataFrame:

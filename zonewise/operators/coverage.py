@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zonewise.functions import ids
 from zonewise.functions.numeric import ratio
 from zonewise.operators.reshape import round_of, to_long
+from zonewise.operators.scale import spread_join
 
 
 def filter_covered(exposure: DataFrame, threshold: float = 0.5, column: str = "pws_coverage_proportion") -> DataFrame:
@@ -44,7 +45,7 @@ def with_arms(
     ``systems`` holds (system, arm...) with one boolean column per arm. All arms
     share one join and one aggregation.
     """
-    marked = served.select("tract_geoid", system).join(systems.select(system, *arms), system)
+    marked = spread_join(served.select("tract_geoid", system), systems.select(system, *arms), [system], "inner")
     per_tract = marked.groupBy("tract_geoid").agg(*(F.bool_or(a).alias(a) for a in arms))
     return exposure.join(per_tract, "tract_geoid", "left")
 

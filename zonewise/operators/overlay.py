@@ -340,7 +340,7 @@ def zonal_mean(
         F.col("px").cast("bigint").alias("c"), F.col("py").cast("bigint").alias("r"), value
     )
     return (
-        inside.join(known, ["c", "r"])
+        spread_join(inside, known, ["c", "r"], "inner")
         .groupBy(F.col("id").alias(zone))
         .agg(
             (F.sum(F.col(value) * F.col("area")) / F.sum("area")).alias("mean"),

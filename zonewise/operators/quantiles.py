@@ -109,7 +109,7 @@ def exact_quantiles(
         )
         groups = groups + [cell]
         targets = inside.select(*groups, "__t", (F.col("__rank") - F.col("__before")).alias("__rank"))
-        candidates = candidates.join(targets.select(*groups).distinct(), groups, "left_semi")
+        candidates = candidates.join(targets.select(*groups), groups, "left_semi")
 
     found = (
         _running(candidates, groups, "__v")

@@ -179,8 +179,7 @@ def allocate(
 ) -> DataFrame:
     """Re-express source-zone counts on target zones: sum of count x weight.
 
-    A source zone holding very many crosswalk rows is split by Spark's own skew
-    handling: both sides reach the join through a plain exchange.
+    ``counts`` has one row per source zone.
     """
-    joined = crosswalk.select(source, target, weight).join(counts.select(source, *measures), source)
+    joined = spread_join(crosswalk.select(source, target, weight), counts.select(source, *measures), [source], "inner")
     return joined.groupBy(target).agg(*(F.sum(F.col(m) * F.col(weight)).alias(m) for m in measures))
