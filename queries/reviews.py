@@ -155,8 +155,8 @@ select pwsid, round(min(value), 6) as min, round(median(value), 6) as median, ro
         f"nullif(count(*) filter (analyte = '{s.analyte}' and review = '{s.review}'), 0) as n_{s.label}"
         for s in SOURCES) + " from samples group by 1"),
     "tract_review_exposure": with_views("""
-select tract_geoid, round(sum(arsenic_fin_median * bg_wgt_pop) / sum(bg_wgt_pop), 6) as arsenic_fin_median_weighted,
-       round(sum(tthm_fin_median * bg_wgt_pop) / sum(bg_wgt_pop), 6) as tthm_fin_median_weighted,
+select tract_geoid, round(round(sum(arsenic_fin_median * bg_wgt_pop) / sum(bg_wgt_pop), 9), 6) as arsenic_fin_median_weighted,
+       round(round(sum(tthm_fin_median * bg_wgt_pop) / sum(bg_wgt_pop), 9), 6) as tthm_fin_median_weighted,
        count(*) as n_pws_syr, round(sum(bg_wgt_pop), 4) as ct_pop_pws_syr,
        max(arsenic_detect_flag) as arsenic_detect_flag, max(tthm_detect_flag) as tthm_detect_flag
 from served left join final using (pwsid) group by 1""", **STITCH),

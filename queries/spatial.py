@@ -105,7 +105,7 @@ def zonal_mean(v: Views) -> DataFrame:
     pixels = v.zone_boxes().select(
         (F.col("x0") / 10).alias("px"), (F.col("y0") / 10).alias("py"), F.col("pop").alias("value")
     )
-    return rounded(o.zonal_mean(systems(v), pixels, 10.0, zone="pwsid"), mean=4)
+    return settled(o.zonal_mean(systems(v), pixels, 10.0, zone="pwsid"), mean=4)
 
 
 def overlap_of_parts(v: Views) -> DataFrame:
@@ -243,15 +243,15 @@ select zone_id, pwsid, round(overlap_area, 4) as overlap_area, round(zone_area,
 select zone_id, pwsid, round(overlap_area + 1e-7, 4) as overlap_area from e where overlap_area > 1e-7""",
         box_pairs=BOX_PAIRS, zone_edges=ZONE_EDGES, diamond_edges=DIAMOND_EDGES, e=EDGE_INTEGRAL),
     "overlay_exposure": with_views("""
-select tract_geoid, round(sum(dcpa_medpws * bg) / sum(bg), 5) as dcpa_medpws_weighted,
-       round(sum(dcpa_maxpws * bg) / sum(bg), 5) as dcpa_maxpws_weighted,
-       round(sum(pfoa_35_medpws * bg) / sum(bg), 5) as pfoa_35_medpws_weighted, count(*) as n_pws_ucmr,
+select tract_geoid, round(round(sum(dcpa_medpws * bg) / sum(bg), 9), 5) as dcpa_medpws_weighted,
+       round(round(sum(dcpa_maxpws * bg) / sum(bg), 9), 5) as dcpa_maxpws_weighted,
+       round(round(sum(pfoa_35_medpws * bg) / sum(bg), 9), 5) as pfoa_35_medpws_weighted, count(*) as n_pws_ucmr,
        round(sum(bg) + 1e-6, 3) as ct_pop_pws, max(dcpa_detectpws) as dcpa_detectpws,
        max(pfoa_35_detectpws) as pfoa_35_detectpws, round(max(total), 2) as tract_total_pop,
        round(sum(bg) / max(total), 3) as pws_coverage_proportion, round(1 - round(sum(bg) / max(total), 3), 3) as prop_no_pws
 from o_served left join measures using (pwsid) left join o_totals using (tract_geoid) group by 1""", **OVERLAY_SERVED),
     "zonal_mean": with_views("""
-select pwsid, round(sum(pop * overlap_area) / sum(overlap_area), 4) as mean, count(*) as n_pixels
+select pwsid, round(sum(pop * overlap_area) / sum(overlap_area) + 1e-7, 4) as mean, count(*) as n_pixels
 from box_pairs group by 1""", box_pairs=BOX_PAIRS),
     "dissolve": with_views(
         "select zone_id, pwsid, round(overlap_area, 4) as overlap_area from box_pairs", box_pairs=BOX_PAIRS),
