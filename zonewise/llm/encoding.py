@@ -15,8 +15,8 @@ import re
 
 import numpy as np
 
-# Words a worker remembers; beyond that it starts over. Bounds memory to about 150 MB.
-REMEMBERED_WORDS = 700_000
+# Words a worker remembers; beyond that it starts over. Bounds memory to about 300 MB.
+REMEMBERED_WORDS = 1_500_000
 
 # White space other than the space and the line feed, by any library's reckoning.
 _ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
