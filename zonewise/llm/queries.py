@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewise.llm import common, packing, quality, sharding, token_files
+from zonewise.llm import (
+    common,
+    decontaminate,
+    html_text,
+    language,
+    neardup,
+    packing,
+    pseudonyms,
+    quality,
+    sharding,
+    token_files,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +36,47 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def _held_out(classes: int, remainder: int) -> Column:
+    """Whether crc32 of doc_id as text leaves the remainder; a null doc_id is never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % classes == remainder, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = language.fit(docs, ~_held_out(4, 2))
+    found = language.predict(docs, model, ["doc_id"])
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+# Production reads the key from a secret store; the session setting stands in for it here.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.zonewise.pseudonymKey", "demonstration key"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY).encode()
+
+
+def op3_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.digest(_table(spark, folder, "documents"), pseudonym_key(spark))
+
+
+def op4_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    # 25 bands of 5 minima: a pair at 0.85 shares no band with probability 4e-7.
+    return neardup.near_duplicates(_table(spark, folder, "documents"), k=3, similarity=85, bands=25, rows=5)
+
+
+def op5_toxicity_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"), ~_held_out(3, 1))
+    found = toxicity.score(docs, model, ["doc_id"])
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op6_html_lstm(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op7_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_table(spark, folder, "documents"), shards=40)
 
@@ -40,10 +93,20 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, rules).select(F.col("row.doc_id").alias("doc_id"), *quality.STATISTICS, "base_failed", "kept")
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
+    "op4_bbit_minhash": op4_bbit_minhash,
+    "op5_toxicity_fm": op5_toxicity_fm,
+    "op6_html_lstm": op6_html_lstm,
     "op7_jump_sharding": op7_jump_sharding,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
