@@ -15,8 +15,8 @@ import re
 
 import numpy as np
 
-# Words a worker remembers; beyond that it starts over. Bounds memory to about 300 MB.
-REMEMBERED_WORDS = 1_500_000
+# Words a worker remembers; beyond that it drops those least used. Bounds memory to about 150 MB.
+REMEMBERED_WORDS = 700_000
 
 # White space other than the space and the line feed, by any library's reckoning.
 _ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
@@ -48,6 +48,24 @@ class Encoder:
         self.used = 0
         self.first = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
+        self.uses = np.zeros(1 << 12, np.int64)
+
+    def _drop_rare(self) -> None:
+        """Keep the more used half of the words, none that was used once only; uses count half from then on."""
+        n = len(self.code)
+        uses = self.uses[:n]
+        keep = uses >= max(2, np.partition(uses, n // 2)[n // 2])
+        if keep.sum() > 3 * n // 4:
+            keep = uses > uses.min()
+        words, first, count = list(self.code), self.first[:n][keep], self.count[:n][keep]
+        stored = np.maximum(count, 0)
+        stops = np.cumsum(stored)
+        flat = self.flat[np.repeat(first - (stops - stored), stored) + np.arange(stops[-1] if len(stops) else 0)]
+        self._forget()
+        self.code = {w: i for i, w in enumerate(w for w, k in zip(words, keep.tolist(), strict=True) if k)}
+        self.flat, self.used = np.concatenate([flat, self.flat]), len(flat)
+        self.first, self.count = np.concatenate([stops - stored, self.first]), np.concatenate([count, self.count])
+        self.uses = np.concatenate([uses[keep] // 2, self.uses])
 
     def _encode(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -64,9 +82,11 @@ class Encoder:
         if at + len(ids) > len(self.first):
             more = np.zeros(max(len(self.first), len(ids)), np.int64)
             self.first, self.count = np.concatenate([self.first, more]), np.concatenate([self.count, more])
+            self.uses = np.concatenate([self.uses, more])
         self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
         self.first[at : at + len(ids)] = self.used + np.cumsum(counts) - counts
         self.count[at : at + len(ids)] = np.where(odd, -1, counts)
+        self.uses[at : at + len(ids)] = 0
         self.used += total
         self.code.update(zip(words, range(at, at + len(ids))))
 
@@ -90,7 +110,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.code) > REMEMBERED_WORDS:
-            self._forget()
+            self._drop_rare()
         words: list[str] = []
         ends = []
         for text in texts:
@@ -101,6 +121,7 @@ class Encoder:
         if len(missing):
             self._remember(list(dict.fromkeys([words[i] for i in missing])))
             codes[missing] = [self.code[words[i]] for i in missing]
+        self.uses[: len(self.code)] += np.bincount(codes, minlength=len(self.code))
         counts = self.count[codes]
         unsafe = set(np.searchsorted(ends, np.flatnonzero(counts < 0), side="right").tolist())
         np.maximum(counts, 0, out=counts)
