@@ -1,6 +1,7 @@
 """The training-data pipeline: quality rules, near-duplicates, decontamination, private data, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and all but the
+last return the columns of their docs.
 """
 
 from __future__ import annotations
@@ -8,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from zonewise.llm import common, packing, quality
-from zonewise.llm.queries import vocabulary
+from zonewise.llm import common, decontaminate, neardup, packing, pseudonyms, quality
+from zonewise.llm.queries import pseudonym_key, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,6 +22,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, rules).where("kept").select("row.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares five-word shingles to 0.8 or more."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with private values exchanged for pseudonyms."""
+    return pseudonyms.pseudonymise(docs, pseudonym_key(spark))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in a sequence."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
@@ -29,9 +44,12 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("private_data", private_data),
     ("best_fit_packing", best_fit_packing),
 ]
-# The learned rules and the tokenizer have no SQL form; tests hold each stage against brute force.
+# Learned rules, minima and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
