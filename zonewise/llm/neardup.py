@@ -3,12 +3,14 @@
 1. One pass over the texts: the set of hashed shingles, its minima under HASHES hash functions, band keys over groups
    of minima, and the low bits of the minima packed in four integers.
 2. Equal sets are one class, held by its smallest doc_id. Only classes go on.
-3. A band bucket links its members to the smallest one: as many candidates as members, never all
-   pairs. The packed bits estimate each candidate's similarity, corrected for chance agreement; those clearly
-   below the limit go, the others are confirmed on the full sets. Connected components follow.
-4. A link inside a bucket may join two members that the smallest one is not similar to. Buckets whose
+3. A band bucket links its members to one of them, the class of the most copies (of edited copies of a text the text
+   itself is usually the one): as many candidates as members, never all pairs. The packed bits estimate
+   each candidate's similarity, corrected for chance agreement; those clearly below the limit go, the others are
+   confirmed on the full sets. Connected components follow.
+4. A link inside a bucket may join two members that the first one is not similar to. Buckets whose
    members are in more than one component after step 3 are therefore compared member by member, across
-   components only, by the packed bits inside the join; survivors are confirmed like the others.
+   components only, inside the join, by the packed bits and then by a wide signature made for these members; a pair
+   is looked at in the first band it shares. Survivors are confirmed like the others.
 
 All candidates of all buckets are covered that way, whatever a bucket's size.
 """
@@ -32,12 +34,14 @@ SHINGLE, SIMILARITY = 5, 80
 BANDS, ROWS = 32, 4
 # Candidates with an estimate this far below the limit go unconfirmed: over six standard deviations.
 MARGIN = 0.25
+# The wide signature: 1,024 minima tell similarity to 0.013, so this margin is 4.5 standard deviations.
+WIDE_HASHES, WIDE_MARGIN = 1024, 0.06
 # Ids that are broadcast to find the texts to confirm; more than that are joined.
 BROADCAST_IDS = 2_000_000
 
 _RANDOM = np.random.default_rng(20_240_501)
-_XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_ODD = _RANDOM.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _RANDOM.integers(0, 1 << 32, WIDE_HASHES, dtype=np.uint32)
+_ODD = _RANDOM.integers(0, 1 << 31, WIDE_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -59,12 +63,14 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def minima(hashes: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """Minima of the set under the first ``n`` hash functions."""
+    out = np.full(n, 0xFFFFFFFF, np.uint32)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(low), 4096):
-        part = low[None, i : i + 4096] ^ _XOR[:, None]
-        part *= _ODD[:, None]
+    step = 4096 * HASHES // n
+    for i in range(0, len(low), step):
+        part = low[None, i : i + step] ^ _XOR[:n, None]
+        part *= _ODD[:n, None]
         np.minimum(out, part.min(axis=1), out=out)
     return out
 
@@ -113,31 +119,31 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return common.over_batches(docs, run, SIGNATURES)
 
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, h1, h2 and full set of each document."""
+def _again(docs: DataFrame, k: int, wide: bool) -> DataFrame:
+    """doc_id and h1 of each document, with its full set or its wide signature."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
         h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+        made = [packed(minima(s, WIDE_HASHES)) if wide else s.view(np.int64) for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(h1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            ["doc_id", "h1", "shingles"],
+            [batch.column(0), pa.array(h1), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "h1", "made"]
         )
 
-    return common.over_batches(docs, run, "doc_id bigint, h1 bigint, shingles array<bigint>")
+    return common.over_batches(docs, run, "doc_id bigint, h1 bigint, made array<bigint>")
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, hashes: int = HASHES) -> Column:
     """Similarity by agreeing low bits, less what agrees by chance."""
     per = 64 // BITS
     ones = sum(1 << (BITS * i) for i in range(per))
     mask = F.lit(ones - (1 << 64) if ones >> 63 else ones).cast("bigint")
     differing = []
-    for i in range(HASHES // per):
+    for i in range(hashes // per):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         folded = reduce(lambda y, z: y.bitwiseOR(z), [F.shiftrightunsigned(x, j) for j in range(BITS)])
         differing.append(F.bit_count(folded.bitwiseAND(mask)))
-    agreeing = 1 - reduce(lambda y, z: y + z, differing) / HASHES
+    agreeing = 1 - reduce(lambda y, z: y + z, differing) / hashes
     chance = 2.0**-BITS
     return (agreeing - chance) / (1 - chance)
 
@@ -175,8 +181,8 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    one = sets.select(F.col("doc_id").alias("a"), F.col("made").alias("sa"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("made").alias("sb"))
     common_size = F.size(F.array_intersect("sa", "sb"))
     union_size = F.size("sa") + F.size("sb") - F.col("both")
     # The side of the many first: its sets move once, and rows of a hot ``a`` are then wide enough to be seen and split.
@@ -204,15 +210,39 @@ def near_duplicates(
     rows_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     made = common.written(signatures(rows_in, k, bands, rows), folder, "signatures")
     linkable = made.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = linkable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     member = common.written(linkable.join(classes, ["h1", "h2"]), folder, "members")
-    reps = member.where("doc_id = rep").select("rep", "n_shingles", "h1", "bits", "bands")
+    reps = member.where("doc_id = rep").select("rep", "copies", "n_shingles", "h1", "bits", "bands")
     signature = reps.select("rep", "n_shingles", "bits")
 
-    # Buckets of one class are of no use; the others keep their members with the smallest one.
-    banded = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    bucket = common.written(banded.join(buckets.select("key", "first"), "key").distinct(), folder, "buckets")
+    # Buckets of one class are of no use; the others keep their members with the first one.
+    banded = reps.select("rep", "copies", F.posexplode("bands").alias("band", "key"))
+    buckets = (
+        banded.groupBy("key")
+        .agg(
+            F.min("rep").alias("low"),
+            F.max("rep").alias("high"),
+            F.max(F.struct("copies", (-F.col("rep")).alias("id"))).alias("top"),
+        )
+        .where("low < high")
+        .select("key", (-F.col("top.id")).alias("first"))
+    )
+    bucket = common.written(
+        banded.select("rep", "band", "key").join(buckets, "key").distinct(), folder, "buckets"
+    )
+
+    def texts_of(ids: DataFrame, wide: bool, name: str) -> DataFrame:
+        """Sets or wide signatures of the classes in ``ids``, made anew from the texts in question only."""
+        ids = common.written(ids.distinct(), folder, f"{name}-ids")
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        made = common.written(
+            _again(rows_in.join(wanted, "doc_id", "left_semi"), k, wide), folder, f"{name}-sets"
+        )
+        if made.select("doc_id").distinct().count() < made.count():
+            # A repeated doc_id may have a text that does not bear its class.
+            bearing = reps.select(F.col("rep").alias("doc_id"), "h1").distinct()
+            made = made.join(bearing, ["doc_id", "h1"], "left_semi").dropDuplicates(["doc_id", "h1"])
+        return made
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         a, b = signature.alias("x"), signature.alias("y")
@@ -220,17 +250,10 @@ def near_duplicates(
         return joined.where(_may_link(similarity, "x", "y")).select("a", "b").distinct()
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs confirmed on full sets, which are made anew for the texts in question only."""
+        """Pairs confirmed on full sets."""
         pairs = common.written(pairs, folder, f"{name}-candidates")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        ids = common.written(ids, folder, f"{name}-ids")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        # A repeated doc_id may have a text that does not bear its class.
-        bearing = reps.select(F.col("rep").alias("doc_id"), "h1").distinct()
-        sets = _full_sets(rows_in.join(wanted, "doc_id", "left_semi"), k)
-        sets = common.written(sets, folder, f"{name}-sets")
-        if sets.select("doc_id").distinct().count() < sets.count():
-            sets = sets.join(bearing, ["doc_id", "h1"], "left_semi").dropDuplicates(["doc_id", "h1"])
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+        sets = texts_of(ids, False, name)
         return common.written(_confirmed(pairs, sets, similarity).distinct(), folder, f"{name}-links")
 
     star = bucket.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
@@ -242,20 +265,26 @@ def near_duplicates(
 
     # Buckets that still hold more than one component: members across components, compared in the join.
     placed = bucket.join(group.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
+        "key", "band", "rep", F.coalesce("component", "rep").alias("component")
     )
     open_ = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    rest = common.written(
-        placed.join(open_.select("key"), "key", "left_semi").join(signature, "rep"), folder, "open-buckets"
-    )
+    unsettled = common.written(placed.join(open_.select("key"), "key", "left_semi"), folder, "open-buckets")
+    wide = texts_of(unsettled.select(F.col("rep").alias("doc_id")), True, "wide")
+    wide = wide.select(F.col("doc_id").alias("rep"), F.col("made").alias("wide"))
+    rest = unsettled.join(reps.select("rep", "n_shingles", "bits", "bands").join(wide, "rep"), "rep")
     x, y = rest.alias("x"), rest.alias("y")
+    earlier = [F.slice(f"{side}.bands", F.lit(1), F.col("x.band")) for side in ("x", "y")]
+    close = estimate(F.col("x.wide"), F.col("y.wide"), WIDE_HASHES) >= similarity / 100 - WIDE_MARGIN
     across = (
         x.join(
             y,
             (F.col("x.key") == F.col("y.key"))
             & (F.col("x.rep") < F.col("y.rep"))
             & (F.col("x.component") != F.col("y.component"))
-            & _may_link(similarity, "x", "y"),
+            & _may_link(similarity, "x", "y")
+            & close
+            # Keys of different bands never agree: no overlap means that this is the first band in common.
+            & ~F.arrays_overlap(*earlier),
         )
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
@@ -283,7 +312,7 @@ def near_duplicates(
     alone = made.where("n_shingles = 0 or doc_id is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
     )
-    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
