@@ -12,9 +12,9 @@ from queries.weighting import (
 )
 from zonewise import lookups
 from zonewise.functions import ids
-from zonewise.functions.columns import cols, rename_by_pattern, tag_by_pattern
+from zonewise.functions.columns import cols, rename_by_pattern, tag_by_stem
 from zonewise.functions.numeric import round_numeric, zero_fill
-from zonewise.operators import checks, coverage, reshape
+from zonewise.operators import checks, coverage, overlay, reshape
 from zonewise.operators.quantiles import exact_medians
 from zonewise.plans import tables
 
@@ -73,7 +73,7 @@ def pattern_columns(v: Views) -> DataFrame:
     """Select by pattern, rename by pattern, tag with the round, fill and round numbers."""
     chosen = v.measures().select("pwsid", *cols(v.measures(), ends_with="MEDPWS"), *cols(v.measures(), contains="max"))
     renamed = rename_by_pattern(chosen, lookups.FINAL_RENAMES, only=cols(chosen, matches="max"))
-    return round_numeric(zero_fill(tag_by_pattern(renamed, lookups.ROUND_TAGS)), 4)
+    return round_numeric(zero_fill(tag_by_stem(renamed, lookups.ROUND_OF)), 4)
 
 
 # Coverage ------------------------------------------------------------------
@@ -102,7 +102,8 @@ def retention_by_state(v: Views) -> DataFrame:
 
 def reference_totals(v: Views) -> DataFrame:
     tract = v.tract()
-    parts = [tract.where(ids.in_state(F.col("tract_geoid"), f"0{s}")) for s in range(1, 6)]
+    routed = overlay.with_region(tract, "tract_geoid")
+    parts = [routed.where(F.col("region") == r).drop("region") for r in overlay.REGIONS]
     return rounded(coverage.reference_totals(parts), ref_pop=2)
 
 
@@ -113,7 +114,7 @@ def coverage_compare(v: Views) -> DataFrame:
 
 
 def round_coverage(v: Views) -> DataFrame:
-    rounds = sorted({label for _, label in lookups.ROUND_RULES} | {lookups.OTHER_ROUND})
+    rounds = sorted({*lookups.ROUNDS, lookups.OTHER_ROUND})
     totals = coverage.by_round(coverage.filter_covered(_with_arms(v), 0.1), FLAGS, ARM_NAMES)
     out = coverage.round_coverage(coverage.reference_totals([v.tract()]), rounds, totals, ARM_NAMES)
     return settled(out, **{c: 2 if "pop" in c else 6 for c in out.columns if c[:3] in ("ref", "pop", "mai", "cov")})
@@ -178,7 +179,7 @@ def unmatched_systems(v: Views) -> DataFrame:
 
 
 def reconcile(v: Views) -> DataFrame:
-    tagged = tag_by_pattern(v.measures(), lookups.ROUND_TAGS)
+    tagged = tag_by_stem(v.measures(), lookups.ROUND_OF)
     rounds = {r.lower(): cols(tagged, ends_with=r.lower()) for r in ("ucmr1", "ucmr3or5")}
     bounded = v.published().where(F.col("population_served_count").isNotNull())
     return checks.reconcile(tagged, bounded, v.master(), rounds)
@@ -186,7 +187,7 @@ def reconcile(v: Views) -> DataFrame:
 
 def tribal_agencies(v: Views) -> DataFrame:
     """Agencies written with digits, against those that are not, by size class."""
-    m = v.master().withColumn("digits", F.col("agency").rlike("^0[0-9]$"))
+    m = v.master().withColumn("digits", F.col("agency").rlike("[0-9]"))
     labelled = m.withColumn("size_class", reshape.recode(F.col("pop_cat"), lookups.POPULATION_CLASSES))
     return labelled.groupBy("digits", "size_class", "type_code").agg(F.count(F.lit(1)).alias("n"))
 
@@ -451,7 +452,7 @@ from (select pwsid, 'ucmr1' as round from measures
       where pfoa_35_medpws is not null or pfoa_35_detectpws is not null)
 left join master using (pwsid) left join published using (pwsid) group by 1, 2"""),
     "tribal_agencies": with_views("""
-select agency like '0_' as digits, case pop_cat when 1 then '≤500' when 2 then '501–3,300' when 3 then '3,301–10,000'
+select regexp_matches(agency, '[0-9]') as digits, case pop_cat when 1 then '≤500' when 2 then '501–3,300' when 3 then '3,301–10,000'
        when 4 then '10,001–100,000' when 5 then '>100,000' end as size_class, type_code, count(*) as n
 from master group by 1, 2, 3"""),
     "activity_subset": with_views("""

@@ -31,6 +31,22 @@ def plain_summary(v: Views) -> DataFrame:
     return rounded(out, min=6, median=6, mean=6, max=6, sd=6)
 
 
+def summary_null_keys(v: Views) -> DataFrame:
+    """One analyte's name is missing: its samples form a group of their own."""
+    unnamed = v.samples().withColumn("analyte", F.nullif(F.col("analyte"), F.lit("tthm")))
+    out = samples.summarise(unnamed, ["analyte", "review"])
+    return rounded(out, min=6, median=6, detect_level_med=6, mean=6, max=6, sd=6)
+
+
+ROUND_TWO = [samples.Source("arsenic", "syr2", substitute=False, strict_flag=True, unit_scale=1000.0)]
+
+
+def review_round_two(v: Views) -> DataFrame:
+    """The earliest round: no substitution, a flag that knows missing codes, and another unit."""
+    early = v.samples().where("analyte = 'arsenic' and review = 'syr3'").withColumn("review", F.lit("syr2"))
+    return rounded(samples.review_medians(early, ROUND_TWO), arsenic_fin_median=6)
+
+
 def stitch_by_full_join(v: Views) -> DataFrame:
     """The rounds as separate tables, suffixed and full-joined; systems differ by round."""
     frames = []
@@ -84,6 +100,8 @@ def distribution_summary(v: Views) -> DataFrame:
 QUERIES = {
     "nondetect_summary": nondetect_summary,
     "plain_summary": plain_summary,
+    "summary_null_keys": summary_null_keys,
+    "review_round_two": review_round_two,
     "row_median": row_median_query,
     "row_max": row_max_query,
     "sample_stitch": lambda v: rounded(medians(v), arsenic_fin_median=6, tthm_fin_median=6),
@@ -138,6 +156,14 @@ select pwsid, analyte, review, round(min(reading), 6) as min, round(median(readi
     "plain_summary": with_views("""
 select pwsid, round(min(value), 6) as min, round(median(value), 6) as median, round(avg(value), 6) as mean,
        round(max(value), 6) as max, round(stddev_samp(value), 6) as sd from samples group by 1"""),
+    "summary_null_keys": with_views("""
+select nullif(analyte, 'tthm') as analyte, review, round(min(reading), 6) as min, round(median(reading), 6) as median,
+       round(median(dl), 6) as detect_level_med, round(avg(reading), 6) as mean, round(max(reading), 6) as max,
+       round(stddev_samp(reading), 6) as sd from ready group by 1, 2""", ready=READY),
+    "review_round_two": with_views("""
+select pwsid, round(median(value) * 1000, 6) as arsenic_fin_median,
+       case when count(detect) = count(*) then max(detect) end as arsenic_detect_flag
+from samples where analyte = 'arsenic' and review = 'syr3' group by 1"""),
     "row_median": with_views(
         "select l_orderkey, l_linenumber, round(list_median([a, b, d]), 6) as mid from r", r=ROWS
     ).replace("list_median([a, b, d])", "list_aggregate([a, b, d], 'median')"),

@@ -119,6 +119,19 @@ def overlap_of_parts(v: Views) -> DataFrame:
     return rounded(flagged, area=4, excess=4)
 
 
+def crossed_rings(v: Views) -> DataFrame:
+    """Boxes drawn as figures of eight: no signed area, but not lost; they are set aside."""
+    points = F.array(
+        *(F.struct((F.col("x0") + F.col("w") * dx).alias("x"), (F.col("y0") + F.col("h") * dy).alias("y"))
+          for dx, dy in ((0, 0), (1, 1), (1, 0), (0, 1)))
+    )
+    eights = v.system_boxes().select(
+        F.col("pwsid").alias("id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.posexplode(points).alias("seq", "p")
+    ).select("id", "part", "ring", "seq", "p.x", "p.y")
+    edges = g.normalize(g.edges_from_vertices(eights))
+    return rounded(o.invalid_polygons(edges, CELL), area=3, excess=3)
+
+
 def project_albers(v: Views) -> DataFrame:
     degrees = v.table("customer").select(
         "c_custkey",
@@ -141,7 +154,7 @@ def region_routing(v: Views) -> DataFrame:
 def union_regions(v: Views) -> DataFrame:
     routed = o.with_region(v.bg_pws())
     parts = {}
-    for region in ("contiguous", "AK"):
+    for region in o.REGIONS:
         own = f"{region.lower()}_zone_area"
         table = routed.where(F.col("region") == region).withColumnRenamed("zone_area", own).drop("region")
         parts[region] = (table, {own: "zone_area"})
@@ -163,6 +176,7 @@ QUERIES = {
     "zonal_mean": zonal_mean,
     "dissolve": dissolve,
     "overlapping_parts": overlap_of_parts,
+    "crossed_rings": crossed_rings,
     "project_albers": project_albers,
     "region_routing": region_routing,
     "union_regions": union_regions,
@@ -257,6 +271,8 @@ from box_pairs group by 1""", box_pairs=BOX_PAIRS),
         "select zone_id, pwsid, round(overlap_area, 4) as overlap_area from box_pairs", box_pairs=BOX_PAIRS),
     "overlapping_parts": with_views("""
 select pwsid as id, round(2 * w * h, 4) as area, round(2 * (w * 0.75) * h, 4) as excess from system_boxes"""),
+    "crossed_rings": with_views(
+        "select pwsid as id, 0.0::double as area, round(w * h / 2, 3) as excess from system_boxes"),
     "project_albers": """
 with c as (select 0.08181919104281579 as e, 6378137.0::double as a),
 k as (select e, a, e * e as e2, sin(radians(23)) as s0, sin(radians(29.5)) as s1, sin(radians(45.5)) as s2 from c),
@@ -278,6 +294,7 @@ union all
 select case when substr(n_name, 1, 2) in ('AK', 'HI', 'GU', 'PR') then substr(n_name, 1, 2) else 'contiguous' end,
        count(*), 'agency' from nation group by 1"""),
     "union_regions": with_views("""
-select case substr(geoid, 1, 2) when '02' then 'AK' else 'contiguous' end as region, pwsid, count(*) as n,
+select case substr(geoid, 1, 2) when '02' then 'AK' when '15' then 'HI' when '66' then 'GU' when '72' then 'PR'
+            else 'contiguous' end as region, pwsid, count(*) as n,
        round(sum(zone_area), 4) as zone_area from bg_pws group by 1, 2"""),
 }

@@ -82,6 +82,17 @@ def population_weight(v: Views, by: str) -> DataFrame:
     )
 
 
+def population_weight_capped(v: Views) -> DataFrame:
+    """Some systems measured twice: their shares add up to more than 1 and are scaled back."""
+    m = v.measures().select("pwsid", "dcpa_medpws")
+    twice = m.unionByName(m.where(F.col("pwsid").rlike("[13579]$")))
+    out = weights.population_weight(served(v), "tract_geoid", twice)
+    return rounded(
+        out.select("tract_geoid", "pwsid", "served_total", "pop_weight_sum", "population_weight"),
+        served_total=4, pop_weight_sum=6, population_weight=6,
+    )
+
+
 def pair_shares(v: Views) -> DataFrame:
     out = weights.pair_shares(served(v), v.tract(), digits=12)
     out = settled(out, pws_ct_total_prop=6, pws_ct_pwsarea_prop=6)
@@ -138,6 +149,7 @@ QUERIES = {
     "population_weight_tract": lambda v: population_weight(v, "tract_geoid"),
     "population_weight_system": lambda v: population_weight(v, "pwsid"),
     "any_detect": lambda v: any_detect_by_system(v, False),
+    "population_weight_capped": population_weight_capped,
     "any_detect_strict": lambda v: any_detect_by_system(v, True),
     "strict_max": strict_max_by_system,
     "system_exposure_wide": system_exposure_wide,
@@ -165,9 +177,11 @@ FLAG_KEYS = "pwsid, analyte, review"
 
 def _weight_sql(by: str) -> str:
     return with_views(f"""
-select tract_geoid, pwsid, round(t, 4) as served_total, round(1.0, 6)::double as pop_weight_sum,
-       round(bg_wgt_pop / t, 6) as population_weight
-from (select *, sum(bg_wgt_pop) over (partition by {by}) as t from served)""")
+select tract_geoid, pwsid, round(t, 4) as served_total, round(s, 6) as pop_weight_sum,
+       round(case when s > 1 then share / s else share end, 6) as population_weight
+from (select *, sum(share) over (partition by {by}) as s
+      from (select *, bg_wgt_pop / t as share
+            from (select *, sum(bg_wgt_pop) over (partition by {by}) as t from served)))""")
 
 
 ORACLES = {
@@ -207,12 +221,23 @@ select {FLAG_KEYS}, case when sum(case when detect = 1 then 1 else 0 end) > 0 th
 select {FLAG_KEYS}, case when count(detect) = count(*) then max(detect) end as detect_max,
        case when count(value) = count(*) then max(value) end as value_max from samples group by all"""),
     "system_exposure_wide": with_views("""
-select pwsid, round(coalesce(dcpa_medpws, 0), 6) as dcpa_medpws_weighted_sum,
-       round(coalesce(dcpa_maxpws, 0), 6) as dcpa_maxpws_weighted_sum,
-       round(coalesce(pfoa_35_medpws, 0), 6) as pfoa_35_medpws_weighted_sum,
+select pwsid, round(round(coalesce(a, 0), 9), 6) as dcpa_medpws_weighted_sum,
+       round(round(coalesce(b, 0), 9), 6) as dcpa_maxpws_weighted_sum,
+       round(round(coalesce(c, 0), 9), 6) as pfoa_35_medpws_weighted_sum,
        round(served_pop, 3) as served_pop, population_served_count, round(capture_rate, 6) as capture_rate,
        inclusion_flag, dcpa_detectpws, pfoa_35_detectpws
-from capture left join measures using (pwsid)""", capture=CAPTURE),
+from capture left join sums using (pwsid) left join measures using (pwsid)""", capture=CAPTURE, sums="""
+select pwsid, sum(dcpa_medpws * share) as a, sum(dcpa_maxpws * share) as b, sum(pfoa_35_medpws * share) as c
+from (select *, bg_wgt_pop / sum(bg_wgt_pop) over (partition by pwsid) as share from served) left join measures using (pwsid)
+group by 1"""),
+    "population_weight_capped": with_views("""
+select tract_geoid, pwsid, round(t, 4) as served_total, round(f / t, 6) as pop_weight_sum,
+       round(bg_wgt_pop / t / greatest(f / t, 1), 6) as population_weight
+from (select *, sum(bg_wgt_pop) over (partition by tract_geoid) as t,
+             sum(bg_wgt_pop * fan) over (partition by tract_geoid) as f
+      from served join (select pwsid, count(*) as fan from twice group by 1) using (pwsid))
+join twice using (pwsid)""", twice="""
+select pwsid from measures union all select pwsid from measures where regexp_matches(pwsid, '[13579]$')"""),
     "capture_rate": with_views("select " + sql_rounded(
         "pwsid, population_served_count, inclusion_flag", served_pop=3, capture_rate=6) + " from capture",
         capture=CAPTURE),

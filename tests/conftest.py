@@ -8,8 +8,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from zonewise import tune
 
-EVERYTHING = str(10**30)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -25,17 +23,6 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    # Literal rows have no known size; without this they would count as huge.
-    session.conf.set("spark.zonewise.smallInputBytes", EVERYTHING)
     yield tune(session)
     session.stop()
 
-
-@pytest.fixture
-def spread(spark):
-    """Treat every input as large and every key with a few rows as hot."""
-    spark.conf.set("spark.zonewise.smallInputBytes", "-1")
-    spark.conf.set("spark.zonewise.hotRows", "3")
-    yield spark
-    spark.conf.set("spark.zonewise.smallInputBytes", EVERYTHING)
-    spark.conf.unset("spark.zonewise.hotRows")

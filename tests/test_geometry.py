@@ -57,10 +57,8 @@ def common_area(p, q):
 
 
 @pytest.mark.parametrize("snap", [False, True], ids=["free", "on-grid"])
-@pytest.mark.parametrize("plan", ["small", "large"])
-def test_overlap_of_stars(spark, request, snap, plan):
-    if plan == "large":
-        request.getfixturevalue("spread")
+@pytest.mark.parametrize("cell, crowded", [(10.0, o.CROWDED_PAIRS), (30.0, 60)], ids=["plain", "cut-again"])
+def test_overlap_of_stars(spark, snap, cell, crowded):
     rng = random.Random(3)
     a = {f"Z{i}": star(rng, snap) for i in range(14)}
     b = {f"S{i}": star(rng, snap) for i in range(14)}
@@ -72,8 +70,7 @@ def test_overlap_of_stars(spark, request, snap, plan):
         (i, j): sign[i] * sign[j] * common_area(p, q) for i, p in a.items() for j, q in b.items()
     }
     want = {k: v for k, v in want.items() if v > 1e-6}
-    # crowded cells are cut again on the large plan
-    found = o.overlap_area(left, right, 10.0 if plan == "small" else 30.0, crowded_pairs=60)
+    found = o.overlap_area(left, right, cell, crowded_pairs=crowded)
     got = {(r.zone_id, r.pwsid): r.overlap_area for r in found.collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
@@ -87,6 +84,20 @@ def test_touching_and_contained_boxes(spark):
         assert got == pytest.approx({"in": 1.0, "same": 100.0})
 
 
+def test_slivers_do_not_depend_on_the_cell(spark):
+    z, s = edges(spark, polygon("z", box(0, 0, 1, 1))), edges(spark, polygon("s", box(0.9996, 0, 1, 1)))
+    for cell in (1.0, 100.0, 1000.0):
+        assert o.overlap_area(z, s, cell).first().overlap_area == pytest.approx(0.0004, rel=1e-6)
+
+
+@pytest.mark.parametrize("numbers", [(0, 1, 2, 3), (1, 2, 3, 4), (0, 10, 20, 30), (0, 70_000, 140_000, 10**9)])
+@pytest.mark.parametrize("ring", [0, None])
+def test_rings_are_closed_whatever_their_numbers(spark, numbers, ring):
+    rows = [("a", 0, ring, n, x, y) for n, (x, y) in zip(numbers, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])]
+    made = g.edges_from_vertices(spark.createDataFrame(rows, "id string, part int, ring int, seq long, x double, y double"))
+    assert made.count() == 4 and g.area(made).first().area == 4.0
+
+
 def test_hole_and_parts(spark):
     ring = polygon("ring", box(0, 0, 9, 9)) + polygon("ring", box(3, 3, 3, 3), ring=1) + polygon("ring", box(20, 0, 1, 1), part=1)
     s = edges(spark, polygon("s", box(2, 2, 30, 5)))

@@ -1,4 +1,5 @@
 import math
+import gzip
 import os
 import statistics
 
@@ -69,10 +70,7 @@ def test_review_medians_units_and_strict_flags(spark):
     assert (got["s2"].arsenic_fin_median, got["s2"].arsenic_detect_flag) == (0.0, 0.0)
 
 
-@pytest.mark.parametrize("plan", ["small", "large"])
-def test_exact_quantiles(spark, request, plan):
-    if plan == "large":
-        request.getfixturevalue("spread")
+def test_exact_quantiles(spark):
     values = [0.0, -1.5, -1.5, 1e-310, 2.0, 2.0000001, 3e7, -4e300, 999.9999999999, 1000.0, 1000.0000001, 7.0, None]
     rows = [("odd", v) for v in values] + [("one", 5.0), ("gone", None), ("even", 1.0), ("even", 2.0)]
     rows += [("tight", 300 + i * 1e-9) for i in range(101)]
@@ -87,6 +85,14 @@ def test_exact_quantiles(spark, request, plan):
     assert got["tight"].m == 300 + 50 * 1e-9
 
 
+def test_medians_keep_null_keys_and_groups_without_values(spark):
+    df = spark.createDataFrame([(None, 2.0), (None, 4.0), ("a", None), ("b", 1.0)], "g string, v double")
+    got = {r.g: r.m for r in quantiles.exact_medians(df, ["g"], {"m": "v"}).collect()}
+    assert got == {None: 3.0, "a": None, "b": 1.0}
+    full = {r.g: (r.min, r.median, r.mean) for r in samples.summarise(df, ["g"], "v", None).collect()}
+    assert full == {None: (2.0, 3.0, 3.0), "a": (None, None, None), "b": (1.0, 1.0, 1.0)}
+
+
 def test_ids(spark):
     df = spark.createDataFrame([("1001000100",), ("01001990001",), ("123456789012",), (None,)], "g string")
     assert column(df, ids.pad_geoid(F.col("g"))) == ["01001000100", "01001990001", "123456789012", None]
@@ -106,7 +112,7 @@ def test_names(spark):
     assert columns.rename_by_pattern(df, lookups.FINAL_RENAMES).columns == [
         "HCFC22_medcws", "pm25_daily_average(ug/m3)", "pfba_5_detectcws", "GEOID10",
     ]
-    assert columns.tag_by_pattern(df, lookups.ROUND_TAGS).columns[:1] == ["HCFC22_medpws_UCMR3"]
+    assert columns.tag_by_stem(df, lookups.ROUND_OF).columns[:1] == ["HCFC22_medpws_UCMR3"]
     with pytest.raises(ValueError):
         columns.all_of(df, ["missing"])
     assert columns.any_of(df, ["missing", "GEOID10"]) == ["GEOID10"]
@@ -129,11 +135,9 @@ def test_split_entities_shares_the_state(spark):
     ]
 
 
-@pytest.mark.parametrize("plan", ["small", "large"])
-def test_fill_down(spark, request, plan, monkeypatch):
-    if plan == "large":
-        request.getfixturevalue("spread")
-        monkeypatch.setattr(covariates, "FILL_BLOCK", 3)
+@pytest.mark.parametrize("bits", [21, 1])
+def test_fill_down(spark, monkeypatch, bits):
+    monkeypatch.setattr(covariates, "FILL_BITS", bits)
     rows = [("g", i, f"v{i}" if i in (2, 9) else None) for i in range(14)] + [("h", 5, None), ("h", 6, "x")]
     out = covariates.fill_down(spark.createDataFrame(rows, "g string, i int, v string"), "v", "i", ["g"])
     got = {(r.g, r.i): r.v for r in out.collect()}
@@ -141,6 +145,12 @@ def test_fill_down(spark, request, plan, monkeypatch):
     assert (got[("h", 5)], got[("h", 6)]) == (None, "x")
 
 
+def test_fill_down_with_null_groups_ties_and_sparse_ordinals(spark):
+    rows = [(None, 0, "a"), (None, 10**12, None), ("g", 5, None), ("g", 5, "b"), ("g", 7 * 10**13, None)]
+    out = covariates.fill_down(spark.createDataFrame(rows, "g string, i long, v string"), "v", "i", ["g"])
+    assert sorted((r.i, r.v) for r in out.collect()) == [(0, "a"), (5, "b"), (5, "b"), (10**12, "a"), (7 * 10**13, "b")]
+
+
 def test_measure_labels(spark):
     wide = spark.createDataFrame([("t", 1.0, 2.0, 0.0)], ["id", "pfoa_35_medpws_weighted", "HCFC22_maxpws", "weird_detectpws"])
     long = reshape.parse_measure(reshape.to_long(wide, ["id"]))
@@ -237,11 +247,15 @@ def test_files(spark, tmp_path):
     files.write_csv(df.coalesce(1), str(tmp_path / "out"))
     back = files.read_csv_ids(spark, str(tmp_path / "out"), casts={"v": "double"})
     assert {tuple(r) for r in back.collect()} == {("01001", None), ("02", 1.5)}
-    for folder, name in (("a", "x.csv"), ("b", "y.csv"), ("b", "skip_me.csv")):
+    for folder, name in (("a", "x.csv"), ("b", "x.csv"), ("b", "y.csv"), ("b", "skip_me.csv")):
         os.makedirs(tmp_path / "many" / folder, exist_ok=True)
         (tmp_path / "many" / folder / name).write_text("id,n\n007,1\n")
     found = files.read_csv_collection(spark, str(tmp_path / "many"), exclude="skip|other")
-    assert sorted(found) == ["x.csv", "y.csv"] and found["x.csv"].first().id == "007"
+    assert sorted(found) == ["a/x.csv", "b/x.csv", "b/y.csv"] and found["b/x.csv"].first().id == "007"
+    with gzip.open(tmp_path / "zipped.csv.gz", "wt") as out:
+        out.write('"STATE","pm25 daily average(ug/m3)"\n"01","7.5"\n')
+    zipped = files.read_csv_ids(spark, str(tmp_path / "zipped.csv.gz"), casts={"pm25 daily average(ug/m3)": "double"})
+    assert tuple(zipped.first()) == ("01", 7.5)
     (tmp_path / "t.txt").write_text("PWS ID\tResult (ug/L)\n001\tn/a\n")
     tab = files.read_delim(spark, str(tmp_path / "t.txt"), casts={"result_ug_l": "double"}).first()
     assert (tab.pws_id, tab.result_ug_l) == ("001", None)

@@ -7,7 +7,7 @@ rename is one projection.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -111,11 +111,14 @@ def rename_by_pattern(
     return df.withColumnsRenamed(renamed)
 
 
-def tag_by_pattern(df: DataFrame, tags: Iterable[tuple[str, str]]) -> DataFrame:
-    """Append the tag of the first pattern found in a name, as ``name_TAG``."""
+def tag_by_stem(df: DataFrame, tags: Mapping[str, str]) -> DataFrame:
+    """Append the tag of the longest stem a name starts with (stem, underscore, rest), as ``name_TAG``."""
+    lowered = {stem.lower(): tag for stem, tag in tags.items()}
     renamed = {}
     for name in df.columns:
-        tag = next((t for p, t in tags if re.search(p, name, re.IGNORECASE)), None)
+        parts = name.lower().split("_")
+        stems = ("_".join(parts[:n]) for n in range(len(parts) - 1, 0, -1))
+        tag = next((lowered[stem] for stem in stems if stem in lowered), None)
         if tag is not None:
             renamed[name] = f"{name}_{tag}"
     return df.withColumnsRenamed(renamed)

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The printed form is "point (lower,upper)".
-POINT = r"\d+\.?\d*(?=\s*\()"
-LOWER = r"(?<=\()\d+\.?\d*(?=,)"
-UPPER = r"(?<=,)\d+\.?\d*(?=\))"
 STATE_CODE = r"[A-Z]{2}$"
 
 
@@ -17,8 +13,15 @@ def extract(text: Column, pattern: str) -> Column:
     return F.regexp_substr(text, F.lit(pattern))
 
 
-def interval_part(text: Column, pattern: str) -> Column:
-    return extract(text, pattern).try_cast("double")
+def interval_parts(text: Column) -> list[Column]:
+    """Point, lower and upper of a printed "point (lower,upper)"; NULL where the cell has another form.
+
+    The cell is cut at its punctuation once; three numbers in that order make an interval.
+    """
+    pieces = F.split(F.trim(text), r"\s*[(,)]")
+    numbers = [F.get(pieces, i).try_cast("double") for i in range(3)]
+    whole = (F.size(pieces) == 4) & (F.get(pieces, 3) == "") & F.endswith(F.trim(text), F.lit(")"))
+    return [F.when(whole, n) for n in numbers]
 
 
 def remove_first(text: Column, piece: Column) -> Column:

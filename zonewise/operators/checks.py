@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from zonewise.functions.numeric import ratio
 from zonewise.operators.aggregate import if_complete, n_distinct
 from zonewise.operators.quantiles import exact_medians, exact_quantiles
-from zonewise.operators.scale import attach_totals, is_small
+from zonewise.operators.scale import attach_totals, join_groups
 from zonewise.operators.weights import areal_weights
 from zonewise.session import cut_lineage
 
@@ -111,11 +111,10 @@ def distribution(df: DataFrame, key: str, value: str) -> DataFrame:
     A key with any missing value has no median.
     """
     complete = df.groupBy(key).agg(if_complete(F.col(value), F.lit(True)).alias("complete"))
-    medians = complete.join(exact_medians(df, [key], {"med": value}), key, "left").select(
+    medians = join_groups(complete, exact_medians(df, [key], {"med": value}), [key]).select(
         key, F.when(F.col("complete"), F.col("med")).alias("med")
     )
-    if not is_small(df):
-        medians = cut_lineage(medians)  # used four times below
+    medians = cut_lineage(medians)  # used four times below
     quartiles = exact_quantiles(medians, [], "med", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     spread = medians.agg(
         F.min("med").alias("min"),

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from zonewise.functions import text
 from zonewise.functions.numeric import density_per_km2, ratio, sum_of
-from zonewise.operators.scale import is_small
+from zonewise.operators.scale import join_groups
 
-FILL_BLOCK = 100_000
+# Bits of an ordinal per level of blocks: no window has more than 2^21 rows, whatever the ordinals.
+FILL_BITS = 21
 
 # Census table variables, by the short names used here.
 RACE_SHARES = {
@@ -60,40 +61,39 @@ def period_mean(df: DataFrame, key: str, means: Mapping[str, str]) -> DataFrame:
 
 
 def fill_down(df: DataFrame, column: str, order: str, within: Sequence[str] = ()) -> DataFrame:
-    """Replace NULL by the last value above it, in the order of an integer column.
+    """Replace NULL by the last value above it, in the order of a non-negative integer column.
 
-    Large input is cut into blocks of consecutive ordinals: each block's last value
-    is found by aggregation and carried over blocks, then rows are filled inside
-    their block, so no task sees more than one block or one row per block.
+    Ordinals are cut into blocks by their higher bits, on two levels. The last value of each block is found by
+    aggregation and carried over the blocks of its parent, so every window is bounded. Rows that share an
+    ordinal share its value (the largest of them) where their own is NULL.
     """
     within = list(within)
-    if is_small(df):
-        above = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(column, F.last(column, ignorenulls=True).over(above))
-    groups = [*within, "__block"]
-    cut = df.withColumn("__block", F.floor(F.col(order) / FILL_BLOCK))
-    ends = cut.groupBy(*groups).agg(
-        F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("__end")
+    at = F.col(order).cast("bigint")
+    ordinals = df.groupBy(*within, at.alias("__at")).agg(F.max(column).alias("__own"))
+    ordinals = ordinals.withColumns(
+        {"__b1": F.shiftright("__at", FILL_BITS), "__b2": F.shiftright("__at", 2 * FILL_BITS)}
     )
-    earlier = Window.partitionBy(*within).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("__carry", F.last("__end", ignorenulls=True).over(earlier)).drop("__end")
-    inside = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = cut.join(carried, groups, "left").withColumn(
-        column, F.coalesce(F.last(column, ignorenulls=True).over(inside), F.col("__carry"))
-    )
-    return filled.select(*df.columns)
+    last = F.max_by("__own", F.when(F.col("__own").isNotNull(), F.col("__at"))).alias("__last")
+
+    def carried(blocks: DataFrame, parents: Sequence[str], block: str, name: str) -> DataFrame:
+        earlier = Window.partitionBy(*parents).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        return blocks.withColumn(name, F.last("__last", ignorenulls=True).over(earlier)).drop("__last")
+
+    upper = carried(ordinals.groupBy(*within, "__b2").agg(last), within, "__b2", "__from2")
+    middle = carried(ordinals.groupBy(*within, "__b2", "__b1").agg(last), [*within, "__b2"], "__b1", "__from1")
+    inside = Window.partitionBy(*within, "__b2", "__b1").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    found = ordinals.withColumn("__here", F.last("__own", ignorenulls=True).over(inside))
+    found = join_groups(found, middle, [*within, "__b2", "__b1"])
+    found = join_groups(found, upper, [*within, "__b2"])
+    filled = found.select(*within, "__at", F.coalesce("__here", "__from1", "__from2").alias("__filled"))
+    rows = join_groups(df.withColumn("__at", at), filled, [*within, "__at"])
+    return rows.withColumn(column, F.coalesce(column, "__filled")).select(*df.columns)
 
 
 def parse_interval(df: DataFrame, source: str, name: str) -> DataFrame:
     """``"23.1 (22.0,24.2)"`` -> point, lower and upper columns."""
-    cell = F.col(source)
-    return df.withColumns(
-        {
-            name: text.interval_part(cell, text.POINT),
-            f"{name}_lower": text.interval_part(cell, text.LOWER),
-            f"{name}_upper": text.interval_part(cell, text.UPPER),
-        }
-    )
+    names = [name, f"{name}_lower", f"{name}_upper"]
+    return df.withColumns(dict(zip(names, text.interval_parts(F.col(source)), strict=True)))
 
 
 def split_entities(df: DataFrame, column: str, part: str = "county_part", delimiter: str = "/") -> DataFrame:

@@ -15,40 +15,39 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonewise.operators.scale import attach_totals, is_small
+from zonewise.operators.scale import attach_totals, join_groups
 
 ENDS = ["x1", "y1", "x2", "y2"]
 
 
+# Vertices of a ring are linked within blocks of this many sequence numbers.
+RING_BLOCK = 65_536
+
+
 def edges_from_vertices(vertices: DataFrame, ring_keys: Sequence[str] = ("id", "part", "ring")) -> DataFrame:
     """Vertex rows (ring keys, seq, x, y) -> edge rows, each ring closed.
 
-    ``seq`` runs 0, 1, 2, ... in each ring; a repeated first vertex at the end is
-    allowed. Further coordinates (z, m) are dropped.
+    ``seq`` orders the vertices of a ring; it may start anywhere and leave gaps. A repeated first vertex at
+    the end is allowed, NULL ring keys too. Further coordinates (z, m) are dropped. A vertex finds the next one within
+    its block of sequence numbers; the last of a block finds the first of the next block, one row per block.
     """
     keys = list(ring_keys)
-    plain = vertices.select(*keys, "seq", "x", "y")
-    if is_small(vertices):
-        ring = Window.partitionBy(*keys).orderBy("seq")
-        whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        linked = plain.select(
-            *keys,
-            F.col("x").alias("x1"),
-            F.col("y").alias("y1"),
-            F.coalesce(F.lead("x").over(ring), F.first("x").over(whole)).alias("x2"),
-            F.coalesce(F.lead("y").over(ring), F.first("y").over(whole)).alias("y2"),
-        )
-    else:
-        # Neighbours meet through a join on the vertex number: no ring is gathered.
-        numbered = attach_totals(plain, keys, __count=F.count(F.lit(1)))
-        starts = numbered.select(
-            *keys, F.pmod(F.col("seq") + 1, F.col("__count")).alias("__next"),
-            F.col("x").alias("x1"), F.col("y").alias("y1"),
-        )
-        ends = plain.select(
-            *keys, F.col("seq").cast("bigint").alias("__next"), F.col("x").alias("x2"), F.col("y").alias("y2")
-        )
-        linked = starts.join(ends, [*keys, "__next"]).drop("__next")
+    plain = vertices.select(*keys, F.col("seq").cast("bigint").alias("seq"), "x", "y").withColumn(
+        "__block", F.floor(F.col("seq") / RING_BLOCK)
+    )
+    point = F.struct("x", "y")
+    firsts = plain.groupBy(*keys, "__block").agg(F.min_by(point, F.col("seq")).alias("__first"))
+    onwards = Window.partitionBy(*keys).orderBy("__block")
+    whole = onwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    entry = firsts.select(
+        *keys, "__block", F.coalesce(F.lead("__first").over(onwards), F.first("__first").over(whole)).alias("__entry")
+    )
+    inside = Window.partitionBy(*keys, "__block").orderBy("seq")
+    led = join_groups(plain.withColumn("__next", F.lead(point).over(inside)), entry, [*keys, "__block"])
+    end = F.coalesce("__next", "__entry")
+    linked = led.select(
+        *keys, F.col("x").alias("x1"), F.col("y").alias("y1"), end["x"].alias("x2"), end["y"].alias("y2")
+    )
     return linked.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
@@ -82,17 +81,25 @@ def bbox(edges: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
 def normalize(edges: DataFrame, ring_keys: Sequence[str] = ("id", "part", "ring")) -> DataFrame:
     """Drop degenerate rings and turn the others the right way round.
 
-    The last ring key numbers the rings of a part: 0 is the outer one, the rest
-    are holes. Rings that cross themselves are left to ``overlay.invalid_polygons``.
+    Degenerate rings have fewer than three edges or all vertices on a line. The last ring key numbers
+    the rings of a part: 0 is the outer one, the rest are holes. Rings that cross themselves, those without signed
+    area too, are left to ``overlay.invalid_polygons``.
     """
     keys = list(ring_keys)
-    measured = attach_totals(edges, keys, __area=_signed_area(), __edges=F.count(F.lit(1)))
-    sound = measured.where((F.col("__edges") >= 3) & (F.col("__area") != 0))
+    spread = F.var_pop("x1") * F.var_pop("y1")
+    measured = attach_totals(
+        edges,
+        keys,
+        __area=_signed_area(),
+        __edges=F.count(F.lit(1)),
+        __flat=spread - F.pow(F.covar_pop("x1", "y1"), F.lit(2)) <= spread * 1e-12,
+    )
+    sound = measured.where((F.col("__edges") >= 3) & ~F.col("__flat"))
     turn = (F.col("__area") > 0) != (F.col(keys[-1]) == 0)
     swapped = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
     return sound.withColumns(
         {a: F.when(turn, F.col(b)).otherwise(F.col(a)) for a, b in swapped.items()}
-    ).drop("__area", "__edges")
+    ).drop("__area", "__edges", "__flat")
 
 
 def dissolve(edges: DataFrame, id: str, row: str) -> DataFrame:

@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from zonewise.functions.ids import state_of
 from zonewise.lookups import NON_CONTIGUOUS_FIPS
 from zonewise.operators.geometry import area as polygon_area
-from zonewise.operators.scale import HOT_KEYS, is_small, spread_join
 from zonewise.session import cut_lineage
 
 PIECE = ["s", "xl", "yl", "xr", "yr"]
 # A cell is cut again where the pieces of both sides would meet in more pairs.
 CROWDED_PAIRS = 1_000_000
 TARGET_PIECES = 64
-MAX_CUTS = 1_024
+# Overlaps below this share of the absolute terms that make them up are rounding.
+ROUNDING = 1e-12
 
 
 def _slot(value: Column, size: Column) -> Column:
@@ -189,18 +189,19 @@ def tile(edges: DataFrame, cell: float, by: Sequence[str] = ("id",)) -> DataFram
 
 
 def cell_areas(tiles: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
-    """Area of each polygon within each cell."""
+    """Area of each polygon within each cell it shares more with than rounding."""
     piece = F.col("s") * (F.col("xr") - F.col("xl")) * (F.col("yl") + F.col("yr")) / 2
-    return tiles.groupBy(*by, "c", "r").agg(F.sum(piece).alias("area"))
+    sums = tiles.groupBy(*by, "c", "r").agg(F.sum(piece).alias("area"), F.sum(F.abs(piece)).alias("__terms"))
+    return sums.where(F.col("area") > ROUNDING * F.col("__terms")).drop("__terms")
 
 
 def _refine(tiles: DataFrame, crowded: DataFrame, keep: Sequence[str], place: Sequence[str], cell: float) -> DataFrame:
     """Cut the pieces of crowded cells again; the others pass as they are."""
-    marked = tiles.join(F.broadcast(crowded), list(place), "left")
+    marked = tiles.join(crowded, list(place), "left")
     calm = marked.where(F.col("cuts").isNull()).withColumns(
         {"cuts": F.lit(1), "fc": F.lit(0).cast("bigint"), "fr": F.lit(0).cast("bigint")}
     )
-    carried = [*keep, "__c", "__r", "cuts"]
+    carried = [*dict.fromkeys([*keep, "__c", "__r", "cuts"])]
     again = marked.where(F.col("cuts").isNotNull()).withColumnsRenamed({"c": "__c", "r": "__r"})
     fine = _cut(again.select(*carried, *PIECE), carried, F.lit(float(cell)) / F.col("cuts"), bounded=True)
     fine = fine.withColumnsRenamed({"c": "fc", "r": "fr"}).withColumnsRenamed({"__c": "c", "__r": "r"})
@@ -208,7 +209,7 @@ def _refine(tiles: DataFrame, crowded: DataFrame, keep: Sequence[str], place: Se
 
 
 def _crowded(a: DataFrame, b: DataFrame, place: Sequence[str], limit: int) -> DataFrame:
-    """At most HOT_KEYS cells, the most crowded ones, with the cuts they deserve."""
+    """The crowded cells, all of them, with the cuts they deserve."""
     both = a.select(*place, F.lit(1).alias("na"), F.lit(0).alias("nb")).unionByName(
         b.select(*place, F.lit(0).alias("na"), F.lit(1).alias("nb"))
     )
@@ -217,12 +218,16 @@ def _crowded(a: DataFrame, b: DataFrame, place: Sequence[str], limit: int) -> Da
     # A power of two, so that the finer grid lines add up to the cell exactly.
     halvings = F.ceil(F.log2(F.sqrt(F.greatest("na", "nb") / F.lit(TARGET_PIECES))))
     cuts = F.pow(F.lit(2.0), F.greatest(halvings, F.lit(1)))
-    return (
-        met.where(pairs > limit)
-        .orderBy(F.desc(pairs), *place)
-        .limit(HOT_KEYS)
-        .select(*place, F.least(cuts, F.lit(MAX_CUTS)).cast("int").alias("cuts"))
-    )
+    return met.where(pairs > limit).select(*place, cuts.cast("int").alias("cuts"))
+
+
+def _refined(
+    a: DataFrame, b: DataFrame, keep: tuple[Sequence[str], Sequence[str]], place: Sequence[str], cell: float, limit: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with their crowded cells cut again, and what names a cell from then on."""
+    crowded = _crowded(a, b, place, limit)
+    finer = [_refine(tiles, crowded, names, place, cell) for tiles, names in zip((a, b), keep, strict=True)]
+    return finer[0], finer[1], [*place, "cuts", "fc", "fr"]
 
 
 def _common(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -251,7 +256,9 @@ def _sum_common(a: DataFrame, b: DataFrame, place: Sequence[str], keys: Sequence
     common = _common(
         {n: F.col(f"a_{n}") for n in PIECE}, {n: F.col(f"b_{n}") for n in PIECE}
     )
-    return met.groupBy(*keys).agg(F.sum(F.col("a_s") * F.col("b_s") * common).alias("overlap_area"))
+    signed = F.col("a_s") * F.col("b_s") * common
+    sums = met.groupBy(*keys).agg(F.sum(signed).alias("overlap_area"), F.sum(F.abs(common)).alias("__terms"))
+    return sums.where(F.abs("overlap_area") > ROUNDING * F.col("__terms")).drop("__terms")
 
 
 def overlap_area(
@@ -273,24 +280,21 @@ def overlap_area(
     place = [*within, "c", "r"]
     a = tile(zones, cell, [*within, "id"]).withColumnRenamed("id", zone)
     b = tile(systems, cell, [*within, "id"]).withColumnRenamed("id", system)
-    if not is_small(zones, systems):
-        a, b = cut_lineage(a), cut_lineage(b)
-        crowded = _crowded(a, b, place, crowded_pairs)
-        a = _refine(a, crowded, [*within, zone], place, cell)
-        b = _refine(b, crowded, [*within, system], place, cell)
-        place = [*place, "cuts", "fc", "fr"]
+    a, b = cut_lineage(a), cut_lineage(b)
+    a, b, place = _refined(a, b, ([*within, zone], [*within, system]), place, cell, crowded_pairs)
     shared = _sum_common(a, b, place, [*within, zone, system])
-    return shared.where(F.col("overlap_area") > 1e-9 * cell * cell)
+    return shared.where(F.col("overlap_area") > 0)
 
 
-def self_overlap(edges: DataFrame, cell: float) -> DataFrame:
+def self_overlap(edges: DataFrame, cell: float, crowded_pairs: int = CROWDED_PAIRS) -> DataFrame:
     """Per polygon: its area, and the area that is covered more than once.
 
     Sound polygons have an excess of 0. Parts that overlap, and rings that cross
     themselves, show a positive one.
     """
-    pieces = tile(edges, cell)
-    squared = _sum_common(pieces, pieces, ["id", "c", "r"], ["id"])
+    pieces = cut_lineage(tile(edges, cell))
+    pieces, _, place = _refined(pieces, pieces, (["id"], ["id"]), ["id", "c", "r"], cell, crowded_pairs)
+    squared = _sum_common(pieces, pieces, place, ["id"])
     return polygon_area(edges).join(squared, "id", "left").select(
         "id", "area", (F.coalesce("overlap_area", F.lit(0.0)) - F.col("area")).alias("excess")
     )
@@ -303,6 +307,11 @@ def invalid_polygons(edges: DataFrame, cell: float, tolerance: float = 1e-9) ->
     )
 
 
+def sound_only(edges: DataFrame, cell: float) -> DataFrame:
+    """The polygons that ``invalid_polygons`` does not set aside."""
+    return edges.join(invalid_polygons(edges, cell).select("id"), "id", "left_anti")
+
+
 def overlay(
     zones: DataFrame,
     systems: DataFrame,
@@ -312,14 +321,21 @@ def overlay(
     zone: str = "zone_id",
     system: str = "pwsid",
     within: Sequence[str] = (),
+    checked: bool = False,
 ) -> DataFrame:
-    """Overlapping pairs with both areas, the shared area and all attributes."""
+    """Overlapping pairs with both areas, the shared area and all attributes.
+
+    Outlines that cover a point more than once are left out, on both sides; ``checked`` says that
+    the caller has set them aside already (see ``sound_only``).
+    """
+    if not checked:
+        zones, systems = sound_only(zones, cell), sound_only(systems, cell)
     pairs = overlap_area(zones, systems, cell, zone, system, within)
     zone_side = polygon_area(zones).withColumnsRenamed({"id": zone, "area": "zone_area"})
     system_side = polygon_area(systems).withColumnsRenamed({"id": system, "area": "system_area"})
     zone_side = zone_side.join(zone_attributes, zone, "left")
     system_side = system_side.join(system_attributes, system, "left")
-    return spread_join(spread_join(pairs, zone_side, [zone]), system_side, [system])
+    return pairs.join(zone_side, zone, "left").join(system_side, system, "left")
 
 
 def zonal_mean(
@@ -335,12 +351,12 @@ def zonal_mean(
     moved = zones.withColumns(
         {c: F.col(c) - F.lit(x0 if c[0] == "x" else y0) for c in ("x1", "y1", "x2", "y2")}
     )
-    inside = cell_areas(tile(moved, size)).where(F.col("area") > 1e-12 * size * size)
+    inside = cell_areas(tile(moved, size))
     known = pixels.where(F.col(value).isNotNull()).select(
         F.col("px").cast("bigint").alias("c"), F.col("py").cast("bigint").alias("r"), value
     )
     return (
-        spread_join(inside, known, ["c", "r"], "inner")
+        inside.join(known, ["c", "r"])
         .groupBy(F.col("id").alias(zone))
         .agg(
             (F.sum(F.col(value) * F.col("area")) / F.sum("area")).alias("mean"),
@@ -349,6 +365,9 @@ def zonal_mean(
     )
 
 
+REGIONS = ["contiguous", *NON_CONTIGUOUS_FIPS.values()]
+
+
 def region_of_state(fips: Column) -> Column:
     """``contiguous``, or the code of an outlying state or territory."""
     expr = F.lit("contiguous")

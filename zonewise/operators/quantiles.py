@@ -5,7 +5,7 @@ Here values are counted first (combining on the map side). A value's leading
 significant digits name its cell; a group has a bounded number of cells, so a
 running count over them is cheap and tells which cell holds the wanted rank. Only
 the values of that cell are kept, then cut again by further digits, and the few
-left are put in order. Small input takes the built-in percentile.
+left are put in order. A group whose key is NULL is a group like any other.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonewise.operators.scale import is_small
+from zonewise.operators.scale import join_groups
 
-# Significant digits of the successive cells: 900 and 1000 cells per power of ten.
-DIGITS = (3, 6)
+# Significant digits of the successive cells: at most 100,000 cells per power of ten on either level. Doubles that
+# share ten digits are some millions at most, so what is left to order is bounded too.
+DIGITS = (5, 10)
 SMALLEST_POWER, LARGEST_POWER = -300, 308
 
 
@@ -66,6 +67,11 @@ def _wanted(probs: dict[str, float], size: Column) -> Column:
     return F.array(*wanted)
 
 
+def _meet(rows: DataFrame, targets: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows with the wanted ranks of their group, a few per group."""
+    return join_groups(rows, targets, groups, "inner")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,13 +82,9 @@ def exact_quantiles(
     """One row per key with the quantiles named in ``probs``.
 
     Linear interpolation between neighbouring values, NULLs skipped, as the exact
-    percentile has it. Groups with no value are absent. ``keys`` must not be NULL.
+    percentile has it. Groups with no value are absent.
     """
     keys = list(keys)
-    if is_small(df):
-        known = df.where(F.col(value).isNotNull())
-        exact = [F.percentile(F.col(value), p).alias(name) for name, p in probs.items()]
-        return known.groupBy(*keys).agg(*exact)
     candidates = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("__v"))
@@ -103,17 +105,16 @@ def exact_quantiles(
             inside = placed.withColumn("__t", F.explode(_wanted(probs, F.col("__size"))))
             inside = inside.withColumn("__rank", F.col("__t.rank"))
         else:
-            inside = _running(cells, groups, cell).join(targets, groups)
+            inside = _meet(_running(cells, groups, cell), targets, groups)
         inside = inside.where(
             (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__upto"))
         )
         groups = groups + [cell]
         targets = inside.select(*groups, "__t", (F.col("__rank") - F.col("__before")).alias("__rank"))
-        candidates = candidates.join(targets.select(*groups), groups, "left_semi")
+        candidates = join_groups(candidates, targets.select(*groups).distinct(), groups, "left_semi")
 
     found = (
-        _running(candidates, groups, "__v")
-        .join(targets, groups)
+        _meet(_running(candidates, groups, "__v"), targets, groups)
         .where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__upto")))
     )
     picked = []
@@ -127,22 +128,16 @@ def exact_quantiles(
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], medians: dict[str, str]) -> DataFrame:
-    """Medians of several columns in one pass: ``{output: input column}``."""
+    """Medians of several columns in one pass: ``{output: input column}``. A group without values has NULL."""
     keys = list(keys)
-    if is_small(df):
-        return df.groupBy(*keys).agg(*(F.median(src).alias(out) for out, src in medians.items()))
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *(
-                    F.struct(F.lit(out).alias("m"), F.col(src).cast("double").alias("v"))
-                    for out, src in medians.items()
-                )
-            )
-        ).alias("__m"),
-    ).select(*keys, F.col("__m.m").alias("__out"), F.col("__m.v").alias("__val"))
+    values = F.array(
+        *(F.struct(F.lit(out).alias("m"), F.col(src).cast("double").alias("v")) for out, src in medians.items())
+    )
+    long = df.select(*keys, F.explode(values).alias("__m")).select(
+        *keys, F.col("__m.m").alias("__out"), F.col("__m.v").alias("__val")
+    )
     tall = exact_quantiles(long, [*keys, "__out"], "__val", {"__median": 0.5})
-    return tall.groupBy(*keys).agg(
+    found = tall.groupBy(*keys).agg(
         *(F.max(F.when(F.col("__out") == out, F.col("__median"))).alias(out) for out in medians)
     )
+    return join_groups(df.select(*keys).distinct(), found, keys)

@@ -67,8 +67,9 @@ def first_rule(text: Column, rules: Iterable[tuple[str, str]], default: str | No
 
 def round_of(flag: Column, suffix: str = "_detectpws") -> Column:
     """Measurement round of a detection flag column name."""
-    stem = F.regexp_replace(flag, suffix + "$", "")
-    return first_rule(stem, lookups.ROUND_RULES, lookups.OTHER_ROUND)
+    at = F.length(flag) - len(suffix)
+    stem = F.when(F.endswith(flag, F.lit(suffix)), F.substr(flag, F.lit(1), at)).otherwise(flag)
+    return recode(stem, lookups.ROUND_OF, lookups.OTHER_ROUND)
 
 
 def recode(value: Column, labels: Mapping, default=None) -> Column:

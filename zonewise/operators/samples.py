@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from zonewise.functions.numeric import detection_limit_or_zero, row_max, row_median, substitute_nondetect
 from zonewise.operators.aggregate import any_detect, strict_max
 from zonewise.operators.quantiles import exact_medians
+from zonewise.operators.scale import join_groups
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def summarise(
         F.max(value).alias("max"),
         F.stddev_samp(value).alias("sd"),
     )
-    return moments.join(exact_medians(ready, keys, medians), keys, "left").select(
+    return join_groups(moments, exact_medians(ready, keys, medians), keys).select(
         *keys, "min", *medians, "mean", "max", "sd"
     )
 
@@ -82,7 +83,7 @@ def review_medians(
         any_detect(F.col("detect"), strict=True).alias("any_flag"),
         strict_max(F.col("detect")).alias("max_flag"),
     )
-    per_round = flags.join(exact_medians(ready, keys, {"median": "reading"}), keys, "left")
+    per_round = join_groups(flags, exact_medians(ready, keys, {"median": "reading"}), keys)
     wide = per_round.groupBy(system).agg(
         *(
             F.max(F.when(F.col("source") == s.label, F.col(stat))).alias(f"{name}_{s.label}")

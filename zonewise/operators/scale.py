@@ -1,10 +1,8 @@
-"""Joins and group totals that stay balanced when one key holds many of the rows.
+"""Group totals that stay balanced when one key holds many of the rows.
 
-On large input, group totals are not attached with a window: a window sends a
-whole group to one task. They are aggregated (which combines on the map side) and
-joined back, and keys with many rows are spread over several tasks on the way.
-Input whose files are small enough for any group to fit one task takes the
-shorter plan instead; both give the same rows.
+A window would send a whole group to one task. Totals are aggregated instead, which combines on the
+map side, and joined back; adaptive execution splits a hot key's rows over several tasks and copies
+its single row of totals to each. There is one plan for every input.
 """
 
 from __future__ import annotations
@@ -12,105 +10,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-# Files up to this many bytes in all count as small (spark.zonewise.smallInputBytes).
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-# A key is worth spreading from this many rows on (spark.zonewise.hotRows).
-HOT_ROWS = 1_000_000
-# The list of hot keys is broadcast; this bounds it. The largest keys come first,
-# so a key left out holds less than one HOT_KEYS-th of all rows and joins unspread.
-HOT_KEYS = 10_000
-MAX_SALTS = 4_096
 
-_N, _SALTS, _SALT = "__n", "__salts", "__salt"
-
-
-def _setting(df: DataFrame, name: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(f"spark.zonewise.{name}", str(default)))
-
-
-def input_bytes(*frames: DataFrame) -> int:
-    """Bytes of all sources the frames read; a source of unknown size counts as huge."""
-    total = 0
-    for df in frames:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        total += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return total
-
-
-def is_small(*frames: DataFrame) -> bool:
-    return input_bytes(*frames) <= _setting(frames[0], "smallInputBytes", SMALL_INPUT_BYTES)
-
-
-def _same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
+def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    """Equality of all keys, NULL being equal to NULL."""
     return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(left, right, strict=True)))
 
 
-def _hot_keys(counts: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
-    """At most HOT_KEYS keys, each with the number of tasks its rows deserve."""
-    return (
-        counts.where(F.col(_N) >= threshold)
-        .orderBy(F.desc(_N), *keys)
-        .limit(HOT_KEYS)
-        .select(
-            *(F.col(k).alias(f"__hot_{k}") for k in keys),
-            F.least(F.ceil(F.col(_N) / threshold) + 1, F.lit(MAX_SALTS)).cast("int").alias(_SALTS),
-        )
-    )
-
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Add the columns of ``groups``, which has one row per key, to ``rows``. NULL keys match NULL keys.
 
-def _with_salts(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    joined = df.join(
-        F.broadcast(hot), _same_keys([df[k] for k in keys], [hot[f"__hot_{k}"] for k in keys]), "left"
-    )
-    return joined.drop(*(f"__hot_{k}" for k in keys))
-
-
-def _spread(left: DataFrame, right: DataFrame, counts: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    hot = _hot_keys(counts, keys, _setting(left, "hotRows", HOT_ROWS))
-    # The salt is a hash of the row, so a task that is run again routes rows as before.
-    salted = _with_salts(left, hot, keys).withColumn(
-        _SALT, F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col(_SALTS)).cast("int"), F.lit(0))
-    )
-    renamed = {k: f"__r_{k}" for k in keys}
-    copies = (
-        _with_salts(right, hot, keys)
-        .withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)))
-        .drop(_SALTS)
-        .withColumnsRenamed(renamed)
-    )
-    on = _same_keys(
-        [salted[k] for k in keys], [copies[n] for n in renamed.values()]
-    ) & (salted[_SALT] == copies["__rsalt"])
-    return salted.join(copies, on, how).drop(_SALT, _SALTS, "__rsalt", *renamed.values())
-
-
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join ``left`` to ``right``, which has at most one row per key.
-
-    On large input, keys with many rows on the left are spread over several tasks
-    and the matching right rows are copied to each. NULL keys never match.
+    Columns keep the order of ``rows``, followed by those of ``groups``.
     """
-    keys = list(on)
-    if is_small(left, right):
-        return left.join(right, keys, how)
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
-    return _spread(left, right.dropna(subset=keys), counts, keys, how)
+    names = list(keys)
+    renamed = groups.withColumnsRenamed({k: f"__g_{k}" for k in names})
+    on = same_keys([rows[k] for k in names], [renamed[f"__g_{k}"] for k in names])
+    return rows.join(renamed, on, how).drop(*(f"__g_{k}" for k in names))
 
 
 def attach_totals(rows: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
-    """Add group aggregates to every row. NULL forms a group of its own.
-
-    On large input the aggregation doubles as the row count per key, so finding
-    hot keys costs no further pass.
-    """
+    """Add group aggregates to every row. NULL forms a group of its own."""
     names = list(keys)
-    if is_small(rows):
-        group = Window.partitionBy(*names)
-        return rows.withColumns({name: total.over(group) for name, total in totals.items()})
-    counted = rows.groupBy(*names).agg(
-        *(total.alias(name) for name, total in totals.items()), F.count(F.lit(1)).alias(_N)
-    )
-    return _spread(rows, counted.drop(_N), counted.select(*names, _N), names, "inner")
+    grouped = rows.groupBy(*names).agg(*(total.alias(name) for name, total in totals.items()))
+    return join_groups(rows, grouped, names, "inner")

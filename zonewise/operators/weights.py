@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from zonewise.functions import ids
 from zonewise.functions.numeric import ratio
-from zonewise.operators.scale import attach_totals, spread_join
+from zonewise.operators.scale import attach_totals
 
 
 def eligible_systems(measures: DataFrame, overlay: DataFrame, system: str = "pwsid") -> DataFrame:
@@ -119,7 +119,7 @@ def pair_shares(served: DataFrame, zone_totals: DataFrame, digits: int = 2) -> D
     by_tract = attach_totals(
         served, ["tract_geoid"], n_pws=F.count(F.lit(1)), ct_pop_pws=F.sum("bg_wgt_pop")
     )
-    return spread_join(by_tract, zone_totals, ["tract_geoid"]).withColumns(
+    return by_tract.join(zone_totals, "tract_geoid", "left").withColumns(
         {
             "pws_ct_total_prop": ratio(F.col("bg_wgt_pop"), F.col("tract_total_pop"), digits),
             "pws_ct_pwsarea_prop": ratio(F.col("bg_wgt_pop"), F.col("ct_pop_pws"), digits),
@@ -136,7 +136,7 @@ def population_weight(served: DataFrame, by: str, measured: DataFrame | None = N
     fan = F.lit(1)
     if measured is not None:
         repeats = measured.groupBy(system).agg(F.count(F.lit(1)).alias("__fan"))
-        served = spread_join(served, repeats, [system])
+        served = served.join(repeats, system, "left")
         fan = F.coalesce(F.col("__fan"), F.lit(1))
     shares = attach_totals(
         served,
@@ -181,5 +181,5 @@ def allocate(
 
     ``counts`` has one row per source zone.
     """
-    joined = spread_join(crosswalk.select(source, target, weight), counts.select(source, *measures), [source], "inner")
+    joined = crosswalk.select(source, target, weight).join(counts.select(source, *measures), source)
     return joined.groupBy(target).agg(*(F.sum(F.col(m) * F.col(weight)).alias(m) for m in measures))

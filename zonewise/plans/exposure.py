@@ -11,7 +11,6 @@ from zonewise.functions.columns import cols
 from zonewise.functions.numeric import ratio
 from zonewise.operators import weights
 from zonewise.operators.aggregate import across, any_detect, weighted_sum
-from zonewise.operators.scale import spread_join
 
 DETECT = "_detectpws"
 FAN = "__fan"
@@ -59,7 +58,7 @@ def tract_exposure(
     flags = list(found_flags if flags is None else flags)
     per_system = _one_row_per_system(measures, values, flags, system)
     served = served.select("tract_geoid", system, "bg_wgt_pop")
-    rows = spread_join(served, per_system, [system])
+    rows = served.join(per_system, system, "left")
     fan = F.coalesce(F.col(FAN), F.lit(1))
     whole = F.sum(F.col("bg_wgt_pop") * fan)
 
@@ -114,23 +113,24 @@ def system_exposure(
 ) -> DataFrame:
     """Measurements weighted over the tracts a system serves, per system.
 
-    Shares of one system add up to 1, so the value of a system comes out again;
-    the served population is aggregated first and the measurements join one row
-    per system. Missing values become 0; flags are passed through.
+    Each (tract, system) weighs in with its capped share of the system's served population; a system without
+    any value sums to 0. Flags are passed through.
     """
     found_values, found_flags = measure_columns(measures, system)
     values = list(found_values if values is None else values)
     flags = list(found_flags if flags is None else flags)
-    covered = capture_rate(served, published, system)
-    per_system = _one_row_per_system(measures, values, [], system)
-    share = F.try_divide(F.lit(1.0), F.coalesce(F.col(FAN), F.lit(1)).cast("double"))
+    weighted = weights.population_weight(
+        served.select("tract_geoid", system, "bg_wgt_pop"), system, measures.select(system, *values)
+    )
 
-    def mean(value):
-        return F.round(F.coalesce(value * share, F.lit(0.0)), digits)
+    def total(value):
+        return weighted_sum(value * F.col("population_weight"), digits, zero_fill=True)
 
-    summed = covered.join(per_system, system, "left").select(
+    sums = weighted.groupBy(system).agg(*across(values, total, "{col}_weighted_sum"))
+    covered = capture_rate(served, published, system)
+    summed = sums.join(covered, system).select(
         system,
-        *across(values, mean, "{col}_weighted_sum"),
+        *(f"{v}_weighted_sum" for v in values),
         "served_pop",
         "population_served_count",
         "capture_rate",

@@ -12,9 +12,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A split hot partition is worth one more exchange further up the plan.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # The detailed form walks every reused exchange again at each adaptive step, which
-    # takes minutes for plans that reuse nested results.
-    "spark.sql.ui.explainMode": "simple",
     # Wide exposure tables carry well over the default 100 columns.
     "spark.sql.codegen.maxFields": "600",
 }

@@ -82,15 +82,16 @@ def read_csv_collection(
     exclude: str | None = None,
     casts: Mapping[str, Mapping[str, str]] | None = None,
 ) -> dict[str, DataFrame]:
-    """CSV files one level below ``folder``, by file name.
+    """CSV files one level below ``folder``, by their path in it (``a/x.csv``), so equal names do not hide each other.
 
-    Paths in which the ``exclude`` pattern is found are left out.
+    Paths in which the ``exclude`` pattern is found are left out. ``casts`` go by path or by file name.
     """
     fs, _ = _file_system(spark, folder)
     found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/*/*.csv"))
     paths: Iterable[str] = sorted(s.getPath().toString() for s in (found or []))
+    named = {"/".join(p.split("/")[-2:]): p for p in paths if not (exclude and re.search(exclude, p))}
+    known = casts or {}
     return {
-        p.rsplit("/", 1)[-1]: read_csv_ids(spark, p, casts=(casts or {}).get(p.rsplit("/", 1)[-1]))
-        for p in paths
-        if not (exclude and re.search(exclude, p))
+        name: read_csv_ids(spark, path, casts=known.get(name, known.get(name.rsplit("/", 1)[-1])))
+        for name, path in named.items()
     }
