@@ -140,4 +140,5 @@ def exact_medians(df: DataFrame, keys: Sequence[str], medians: dict[str, str]) -
     found = tall.groupBy(*keys).agg(
         *(F.max(F.when(F.col("__out") == out, F.col("__median"))).alias(out) for out in medians)
     )
-    return join_groups(df.select(*keys).distinct(), found, keys)
+    # Without keys the aggregation has its one row anyhow.
+    return join_groups(df.select(*keys).distinct(), found, keys) if keys else found
