@@ -17,6 +17,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from zonewise.llm import common
 
@@ -228,9 +229,7 @@ def pseudonymise(docs: DataFrame, key: bytes, counts: bool = False, undo: bool =
     added = [f"n_{kind}" for kind in KINDS] if counts else []
     names = [c for c in docs.columns if c not in added]
     rows = docs.select(*[docs[c] for c in names])
-    schema = rows.schema
-    for name in added:
-        schema = schema.add(name, "long")
+    schema = StructType([*rows.schema.fields, *(StructField(name, LongType()) for name in added)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         replace = Pseudonyms(key, undo)
