@@ -52,7 +52,8 @@ def test_values_are_exchanged_within_their_format_and_back():
             if kind == "date" and "-" in one:
                 datetime.date.fromisoformat(one)
     new, found = forward('token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!')
-    assert found == {"secret": 1} and "9233A8" not in new
+    assert found == {"secret": 1} and re.fullmatch(r'token = "[0-9A-F]{40}"!!', new) and "9233A8" not in new
+    assert back(new)[0] == 'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!'
 
 
 @pytest.mark.parametrize("text", [

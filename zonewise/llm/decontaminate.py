@@ -7,7 +7,6 @@ with the words of the item. The benchmark is broadcast in blocks of a bounded si
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -166,9 +165,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit (words inside any occurrence), n_items, items_sha256 and contaminated for each document."""
-    hits = F.aggregate(
-        "spans", F.lit(0).cast("bigint"), lambda total, s: total + s["behind"] - s["first"]
-    )
+    hits = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["behind"] - s["first"])
     return scan(docs, benchmark, ["doc_id", "text"], window).select(
         F.col("row.doc_id").alias("doc_id"),
         "n_words",
@@ -200,18 +197,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", wind
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
 
+    names, schema = docs.columns, docs.schema
+
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         row = batch.column("row")
         kept = [
             without_spans(t, [(s["first"], s["behind"]) for s in spans]).decode() if spans else t and t.decode()
             for t, spans in zip(row.field("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True)
         ]
-        names = docs.columns
         return pa.RecordBatch.from_arrays(
             [pa.array(kept, pa.string()) if c == "text" else row.field(i) for i, c in enumerate(names)], names
         )
 
-    return common.over_batches(found, cut, docs.schema)
-
-
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
+    return common.over_batches(found, cut, schema)

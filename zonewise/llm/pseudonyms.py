@@ -168,6 +168,14 @@ def _iban(text: str, step: Step) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+def _secret(text: str, step: Step) -> str:
+    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+        if not text.strip(digits):
+            x = step(int(text, 16), 16 ** len(text), "hex")
+            return "".join(digits[x >> 4 * i & 15] for i in reversed(range(len(text))))
+    return _characters(text, step, "secret")
+
+
 def _email(text: str, step: Step) -> str | None:
     # The top domain stays: it is no personal value, and pseudonyms stay well-formed.
     address, dot, top = text.rpartition(".")
@@ -210,7 +218,7 @@ class Pseudonyms:
         if "=" in text or ":" in text:
             text = _SECRET.sub(
                 lambda m: m[0][: m.start(1) - m.start()]
-                + exchanged("secret", m[1], lambda v, step: _characters(v, step, "secret")),
+                + exchanged("secret", m[1], _secret),
                 text,
             )
         text = _FINDERS.sub(lambda m: exchanged(m.lastgroup, m[0], _BY_KIND[m.lastgroup]), text)
