@@ -109,4 +109,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS_SQL = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+# The others have no SQL form: a tokenizer, 64-bit hashes or a trained model stands in them.
+ORACLES: dict[str, str] = {
+    "op10_decontamination": f"""
+with d as (select row_number() over () as rid, doc_id, {WORDS_SQL} as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item, {WORDS_SQL} as w from benchmark),
+items as (select item, w, least(10, len(w)) as n from b where len(w) > 0),
+windows as (
+  select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as g
+  from (select *, unnest(range(1, len(w) - n + 2)) as i from items)),
+sizes as (select distinct n from windows),
+scanned as (
+  select rid, n, i, array_to_string(w[i : i + n - 1], ' ') as g
+  from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+hits as (select rid, i, scanned.n as n, item from scanned join windows on scanned.n = windows.n and scanned.g = windows.g),
+places as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from hits) group by 1),
+found as (
+  select rid, count(*) as n_items, string_agg(item, ',' order by item) as names
+  from (select distinct rid, item from hits) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (rid) left join found using (rid)""",
+}
