@@ -119,6 +119,22 @@ def overlap_of_parts(v: Views) -> DataFrame:
     return rounded(flagged, area=4, excess=4)
 
 
+def overlay_of_duplicates(v: Views) -> DataFrame:
+    """Each system as three overlapping features, two of them equal, under one id: counted once."""
+    thrice = v.system_boxes().select(
+        "pwsid", "y0", "w", "h",
+        F.posexplode(F.array(F.col("x0"), F.col("x0"), F.col("x0") + F.col("w") / 4)).alias("row", "x0"),
+    ).withColumn("feature", F.concat_ws("#", "pwsid", "row"))
+    edges = g.edges_from_vertices(boxes(thrice, "feature")).select(
+        F.substring_index("id", "#", 1).alias("id"), F.substring_index("id", "#", -1).alias("row"), "part", "ring", *g.ENDS
+    )
+    pairs = o.overlay(
+        zones(v), g.dissolve(edges, "id", "row"), CELL,
+        v.zone_boxes().select("zone_id"), v.system_boxes().select("pwsid"),
+    )
+    return rounded(settled(pairs, overlap_area=4), zone_area=4, system_area=4)
+
+
 def crossed_rings(v: Views) -> DataFrame:
     """Boxes drawn as figures of eight: no signed area, but not lost; they are set aside."""
     points = F.array(
@@ -171,6 +187,7 @@ QUERIES = {
     "normalize_rings": normalized_boxes,
     "overlap_area": pairs_of_boxes,
     "spatial_overlay": lambda v: rounded(overlay_pairs(v), overlap_area=4, zone_area=4, system_area=4),
+    "overlay_of_duplicates": overlay_of_duplicates,
     "overlay_polygons": lambda v: settled(o.overlap_area(zones(v), diamonds(v), CELL), overlap_area=4),
     "overlay_exposure": overlay_exposure,
     "zonal_mean": zonal_mean,
@@ -253,6 +270,15 @@ from system_boxes"""),
     "spatial_overlay": with_views("""
 select zone_id, pwsid, round(overlap_area, 4) as overlap_area, round(zone_area, 4) as zone_area, pop,
        round(system_area, 4) as system_area, w, h from box_pairs""", box_pairs=BOX_PAIRS),
+    "overlay_of_duplicates": with_views("""
+select zone_id, pwsid, round(overlap_area + 1e-7, 4) as overlap_area, round(zone_area, 4) as zone_area,
+       round(system_area, 4) as system_area
+from (select zone_id, pwsid, z.w * z.h as zone_area, 1.25 * s.w * s.h as system_area,
+    (least(z.x0 + z.w, s.x0 + 1.25 * s.w) - greatest(z.x0, s.x0)) * (least(z.y0 + z.h, s.y0 + s.h) - greatest(z.y0, s.y0))
+      as overlap_area
+  from zone_boxes z join system_boxes s
+    on z.x0 < s.x0 + 1.25 * s.w and s.x0 < z.x0 + z.w and z.y0 < s.y0 + s.h and s.y0 < z.y0 + z.h)
+where overlap_area > 1e-7"""),
     "overlay_polygons": with_views("""
 select zone_id, pwsid, round(overlap_area + 1e-7, 4) as overlap_area from e where overlap_area > 1e-7""",
         box_pairs=BOX_PAIRS, zone_edges=ZONE_EDGES, diamond_edges=DIAMOND_EDGES, e=EDGE_INTEGRAL),

@@ -129,6 +129,38 @@ def test_invalid_polygons_are_found(spark):
     assert got["twice"] == pytest.approx(16.0)
 
 
+@pytest.mark.parametrize("limit", [None, 6], ids=["plain", "cut-again"])
+def test_what_an_outline_covers_twice_counts_once(spark, monkeypatch, limit):
+    if limit:
+        monkeypatch.setattr(o, "UNITED_PAIRS", limit)
+        monkeypatch.setattr(o, "CROWDED_PAIRS", limit)
+    frame, hole = box(40, 0, 9, 9), box(43, 3, 3, 3)
+    rows = (
+        polygon("sound", box(0, 0, 4, 4))
+        + polygon("twice", box(0, 0, 4, 4)) + polygon("twice", box(2, 1, 4, 4), part=1)
+        + polygon("same", box(20, 0, 4, 4)) + polygon("same", box(20, 0, 4, 4), part=1)
+        + polygon("bow", [(10, 0), (14, 4), (14, 0), (10, 4)]) + polygon("bow", box(10, 0, 2, 4), part=1)
+        + polygon("frame", frame) + polygon("frame", hole, ring=1)
+        + polygon("frame", frame, part=1) + polygon("frame", hole, ring=1, part=1)
+        + polygon("sliver", [(30, 0), (34, 0), (34, 4), (30, 4), (30, 3), (30.001, 3), (30.001, 2.999), (30, 3.001)])
+    )
+    zone = edges(spark, polygon("z", box(1, 0.5, 70, 3)))
+    systems = edges(spark, rows)
+    open_one = systems.where("id = 'sound' and x1 = x2").withColumn("id", F.lit("open"))
+    ids = spark.createDataFrame([("z",)], "zone_id string"), systems.select(F.col("id").alias("pwsid")).distinct()
+    pairs, aside = o.overlay_and_quarantine(zone, systems.unionByName(open_one), 3.0, *ids)
+    got = {r.pwsid: (r.overlap_area, r.system_area) for r in pairs.collect()}
+    assert {(r.side, r.id, r.reason) for r in aside.collect()} == {("pwsid", "open", "not closed")}
+    assert got.keys() == {"sound", "twice", "same", "bow", "frame", "sliver"}
+    assert got["sound"] == pytest.approx((9.0, 16.0))
+    assert got["twice"] == pytest.approx((9 + 2 * 2.5, 32 - 6))
+    assert got["same"] == pytest.approx((12.0, 16.0))
+    # A box over the left lobe, and the right lobe, whose tips the zone cuts off.
+    assert got["bow"] == pytest.approx((6 + 4 - 0.25, 8 + 4))
+    assert got["frame"] == pytest.approx((27 - 1.5, 72.0))
+    assert got["sliver"] == pytest.approx((12.0, 16.0), abs=1e-4)
+
+
 def test_zonal_mean(spark):
     zone = edges(spark, polygon("z", box(0.5, 0, 1, 1)) + polygon("none", box(50, 50, 1, 1)))
     pixels = spark.createDataFrame([(0, 0, 10.0), (1, 0, 30.0), (2, 0, 99.0), (0, 1, None)], "px int, py int, value double")

@@ -106,7 +106,7 @@ def dissolve(edges: DataFrame, id: str, row: str) -> DataFrame:
     """Edges of several features with one id become one multi-part polygon.
 
     ``row`` tells the features apart; it is folded into ``part``, and nothing is
-    moved. The features must not overlap (see ``overlay.self_overlap``).
+    moved. Where features overlap, ``overlay.overlay`` counts them once.
     """
     return edges.withColumn("part", F.concat_ws("/", F.col(row).cast("string"), F.col("part").cast("string"))).drop(row)
 

@@ -34,6 +34,8 @@ from zonewise.session import cut_lineage
 PIECE = ["s", "xl", "yl", "xr", "yr"]
 # A cell is cut again where the pieces of both sides would meet in more pairs.
 CROWDED_PAIRS = 1_000_000
+# The same for the pieces of one polygon where they are united.
+UNITED_PAIRS = 10_000
 TARGET_PIECES = 64
 # Overlaps below this share of the absolute terms that make them up are rounding.
 ROUNDING = 1e-12
@@ -247,20 +249,36 @@ def _common(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (both - apart) / 2 * width
 
 
-def _sum_common(a: DataFrame, b: DataFrame, place: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    ours = a.where(F.col("xl") < F.col("xr")).withColumnsRenamed({n: f"a_{n}" for n in PIECE})
-    theirs = b.where(F.col("xl") < F.col("xr")).withColumnsRenamed({n: f"b_{n}" for n in PIECE})
+def _met(a: DataFrame, b: DataFrame, place: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
+    """Pairs of pieces over a common x range, with what they add to the common area; labels as a_... and b_..."""
+    names = [*PIECE, *labels]
+    ours = a.where(F.col("xl") < F.col("xr")).withColumnsRenamed({n: f"a_{n}" for n in names})
+    theirs = b.where(F.col("xl") < F.col("xr")).withColumnsRenamed({n: f"b_{n}" for n in names})
     met = ours.join(theirs, list(place)).where(
         (F.col("a_xl") < F.col("b_xr")) & (F.col("b_xl") < F.col("a_xr"))
     )
     common = _common(
         {n: F.col(f"a_{n}") for n in PIECE}, {n: F.col(f"b_{n}") for n in PIECE}
     )
-    signed = F.col("a_s") * F.col("b_s") * common
-    sums = met.groupBy(*keys).agg(F.sum(signed).alias("overlap_area"), F.sum(F.abs(common)).alias("__terms"))
+    return met.withColumn("__common", common).withColumn("__signed", F.col("a_s") * F.col("b_s") * F.col("__common"))
+
+
+def _sum_common(a: DataFrame, b: DataFrame, place: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    sums = _met(a, b, place).groupBy(*keys).agg(
+        F.sum("__signed").alias("overlap_area"), F.sum(F.abs("__common")).alias("__terms")
+    )
     return sums.where(F.abs("overlap_area") > ROUNDING * F.col("__terms")).drop("__terms")
 
 
+def _overlap_of_tiles(
+    a: DataFrame, b: DataFrame, cell: float, zone: str, system: str, within: list[str], crowded_pairs: int
+) -> DataFrame:
+    a, b = a.withColumnRenamed("id", zone), b.withColumnRenamed("id", system)
+    a, b, place = _refined(a, b, ([*within, zone], [*within, system]), [*within, "c", "r"], cell, crowded_pairs)
+    shared = _sum_common(a, b, place, [*within, zone, system])
+    return shared.where(F.col("overlap_area") > 0)
+
+
 def overlap_area(
     zones: DataFrame,
     systems: DataFrame,
@@ -277,13 +295,8 @@ def overlap_area(
     Pairs that only touch are left out.
     """
     within = list(within)
-    place = [*within, "c", "r"]
-    a = tile(zones, cell, [*within, "id"]).withColumnRenamed("id", zone)
-    b = tile(systems, cell, [*within, "id"]).withColumnRenamed("id", system)
-    a, b = cut_lineage(a), cut_lineage(b)
-    a, b, place = _refined(a, b, ([*within, zone], [*within, system]), place, cell, crowded_pairs)
-    shared = _sum_common(a, b, place, [*within, zone, system])
-    return shared.where(F.col("overlap_area") > 0)
+    a, b = (cut_lineage(tile(side, cell, [*within, "id"])) for side in (zones, systems))
+    return _overlap_of_tiles(a, b, cell, zone, system, within, crowded_pairs)
 
 
 def self_overlap(edges: DataFrame, cell: float, crowded_pairs: int = CROWDED_PAIRS) -> DataFrame:
@@ -312,6 +325,180 @@ def sound_only(edges: DataFrame, cell: float) -> DataFrame:
     return edges.join(invalid_polygons(edges, cell).select("id"), "id", "left_anti")
 
 
+LABELS = ["part", "ring"]
+
+
+def _is_hole() -> Column:
+    return F.coalesce(F.col("ring") != 0, F.lit(False))
+
+
+def _piece_area() -> Column:
+    return F.col("s") * (F.col("xr") - F.col("xl")) * (F.col("yl") + F.col("yr")) / 2
+
+
+def _doubled_cells(pieces: DataFrame, cell: float, by: Sequence[str]) -> DataFrame:
+    """The cells (by..., c, r) in which a ring, a part or the whole does not count its points exactly once.
+
+    The square of a count differs from the count unless it is 0 or 1. Rings and parts are looked at too, because a
+    lobe that counts as -1 in one part can hide under another part.
+    """
+    cells = [*by, "c", "r"]
+    fine, _, place = _refined(pieces, pieces, ([*by, *LABELS], [*by, *LABELS]), cells, cell, CROWDED_PAIRS)
+    met = _met(fine, fine, place, LABELS)
+    same_part = F.col("a_part").eqNullSafe(F.col("b_part"))
+    same_ring = same_part & F.col("a_ring").eqNullSafe(F.col("b_ring"))
+    times = 1 + same_part.cast("int") + same_ring.cast("int")
+    squares = met.groupBy(*cells).agg(
+        F.sum(F.col("__signed") * times).alias("squares"), F.sum(F.abs("__common")).alias("terms")
+    )
+    counts = pieces.groupBy(*cells).agg(
+        F.sum(_piece_area()).alias("area"),
+        F.sum(_piece_area() * F.when(_is_hole(), 1).otherwise(3)).alias("counts"),
+    )
+    excess = F.abs(F.col("squares") - F.col("counts"))
+    return squares.join(counts, cells).where(excess > ROUNDING * F.col("terms")).select(*cells, "area")
+
+
+def _strips(pieces: DataFrame, place: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Pieces cut at all ends and crossings of their cell, so that within a strip none crosses another."""
+    wide = pieces.where(F.col("xl") < F.col("xr")).select(*place, *keep, *PIECE)
+    xl, yl, xr, yr = (F.col(n) for n in PIECE[1:])
+    line = wide.select(*place, *PIECE[1:]).distinct()
+    other = line.withColumnsRenamed({n: f"o_{n}" for n in PIECE[1:]})
+    left, right = F.greatest("xl", "o_xl"), F.least("xr", "o_xr")
+    met = line.join(other, list(place)).where(left < right)
+
+    def gap(x: Column) -> Column:
+        other_y = F.col("o_yl") + (F.col("o_yr") - F.col("o_yl")) * ((x - F.col("o_xl")) / (F.col("o_xr") - F.col("o_xl")))
+        return yl + (yr - yl) * ((x - xl) / (xr - xl)) - other_y
+
+    gaps = met.select(*place, left.alias("lo"), right.alias("hi"), gap(left).alias("dl"), gap(right).alias("dr"))
+    crossed = gaps.where(F.col("dl") * F.col("dr") < 0).select(
+        *place, (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("dl") / (F.col("dl") - F.col("dr")))).alias("lo")
+    )
+    ends = line.select(*place, F.explode(F.array("xl", "xr")).alias("lo"))
+    onwards = Window.partitionBy(*place).orderBy("lo")
+    strips = ends.unionByName(crossed).distinct().withColumn("hi", F.lead("lo").over(onwards))
+
+    def y_at(x: Column) -> Column:
+        return F.when(x == xl, yl).when(x == xr, yr).otherwise(yl + (yr - yl) * ((x - xl) / (xr - xl)))
+
+    return (
+        wide.join(strips.where(F.col("hi").isNotNull()), list(place))
+        .where((xl <= F.col("lo")) & (F.col("hi") <= xr))
+        .select(*place, *keep, "s", "lo", "hi", y_at(F.col("lo")).alias("yl"), y_at(F.col("hi")).alias("yr"))
+    )
+
+
+def _borders(strips: DataFrame, keys: Sequence[str], counts: Sequence[Column], inside) -> DataFrame:
+    """The pieces of strips at which ``inside(counts)`` changes, from the top down, with the sign of the change."""
+    down = Window.partitionBy(*keys, "lo").orderBy((-(F.col("yl") + F.col("yr"))), "s")
+    down = down.rowsBetween(Window.unboundedPreceding, 0)
+    now = strips.withColumns({f"__n{k}": F.sum(own).over(down) for k, own in enumerate(counts)})
+    after = inside(*(F.col(f"__n{k}") for k in range(len(counts))))
+    before = inside(*(F.col(f"__n{k}") - own for k, own in enumerate(counts)))
+    changed = now.withColumn("__change", after.cast("int") - before.cast("int")).where("__change <> 0")
+    return changed.withColumn("s", F.col("__change")).select(strips.columns)
+
+
+def _united(pieces: DataFrame, doubled: DataFrame, cell: float, by: Sequence[str]) -> DataFrame:
+    """The pieces of the doubled cells with every point counted once.
+
+    A point is inside a ring if the ring winds around it, inside a part if it is in the outer ring and in no hole, and
+    inside the polygon if it is in any part. Every piece comes with the upright ends of the strip below it, so that the
+    result can be cut again.
+    """
+    cells = [*by, "c", "r"]
+    ours = pieces.join(doubled.select(*cells), cells, "left_semi")
+    fine = _refine(ours, _crowded(ours, ours, cells, UNITED_PAIRS), [*by, *LABELS], cells, cell)
+    place = [*cells, "cuts", "fc", "fr"]
+    strips = _strips(cut_lineage(fine), place, LABELS)
+    s = F.col("s")
+    rings = _borders(strips, [*place, *LABELS], [s], lambda n: n != 0)
+    outer_and_holes = [F.when(_is_hole(), 0).otherwise(s), F.when(_is_hole(), s).otherwise(0)]
+    parts = _borders(rings, [*place, "part"], outer_and_holes, lambda n, holes: (n > 0) & (holes == 0))
+    whole = _borders(parts, place, [s], lambda n: n > 0)
+
+    size = F.lit(float(cell)) / F.col("cuts")
+    left, right, floor = F.col("fc") * size + F.col("lo"), F.col("fc") * size + F.col("hi"), F.col("fr") * size
+    yl, yr = floor + F.col("yl"), floor + F.col("yr")
+
+    def row(sign: Column, *ends: Column) -> Column:
+        return F.struct(*(c.alias(n) for c, n in zip((sign, *ends), PIECE, strict=True)))
+
+    rows = F.array(
+        row(s, left, yl, right, yr),
+        F.when(F.col("fr") > 0, row(-s, left, floor, right, floor)),
+        F.when(yl > floor, row(s, left, floor, left, yl)),
+        F.when(yr > floor, row(-s, right, floor, right, yr)),
+    )
+    united = whole.select(*cells, F.explode(rows).alias("p")).where("p is not null")
+    return united.select(*cells, *(F.col(f"p.{n}").alias(n) for n in PIECE))
+
+
+def counted_once(edges: DataFrame, cell: float, by: Sequence[str] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """Tiles and areas of polygons whose parts may overlap and whose rings may cross: every point counts once.
+
+    Only the cells in which a point counts more than once are worked on; the others keep their pieces. The areas are
+    (id, area).
+    """
+    by = list(by)
+    cells = [*by, "c", "r"]
+    labelled = edges.withColumns({n: F.lit(0) for n in LABELS if n not in edges.columns})
+    pieces = cut_lineage(tile(labelled, cell, [*by, *LABELS]))
+    doubled = cut_lineage(_doubled_cells(pieces, cell, by))
+    united = cut_lineage(_united(pieces, doubled, cell, by))
+    calm = pieces.join(doubled.select(*cells), cells, "left_anti")
+    changes = united.select("id", _piece_area().alias("__change")).unionByName(doubled.select("id", (-F.col("area")).alias("__change")))
+    changes = changes.groupBy("id").agg(F.sum("__change").alias("__change"))
+    areas = polygon_area(edges).join(changes, "id", "left").select(
+        "id", (F.col("area") + F.coalesce("__change", F.lit(0.0))).alias("area")
+    )
+    return calm.select(*cells, *PIECE).unionByName(united), areas
+
+
+def unclosed_polygons(edges: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
+    """(by..., reason) of the outlines that bound no area: edges that lead nowhere, or coordinates that are no numbers."""
+    ends = ("x1", "y1", "x2", "y2")
+    number = F.lit(True)
+    for c in ends:
+        number &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    points = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(n).alias("n")) for x, y, n in (("x1", "y1", 1), ("x2", "y2", -1))))
+    met = edges.select(*by, number.alias("number"), F.explode(points).alias("p"))
+    balance = met.groupBy(*by, "p.x", "p.y").agg(F.sum("p.n").alias("n"), F.min("number").alias("number"))
+    reason = F.when(~F.min("number"), "coordinates that are no numbers").when(F.max(F.abs("n")) > 0, "not closed")
+    return balance.groupBy(*by).agg(reason.alias("reason")).where("reason is not null")
+
+
+def overlay_and_quarantine(
+    zones: DataFrame,
+    systems: DataFrame,
+    cell: float,
+    zone_attributes: DataFrame,
+    system_attributes: DataFrame,
+    zone: str = "zone_id",
+    system: str = "pwsid",
+    within: Sequence[str] = (),
+    checked: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """``overlay``, and beside it what it had to set aside: (within..., side, id, reason) of outlines that are not closed."""
+    within = list(within)
+    by = [*within, "id"]
+    sides, aside = [], []
+    for name, edges in ((zone, zones), (system, systems)):
+        unclosed = cut_lineage(unclosed_polygons(edges, by))
+        aside.append(unclosed.select(*within, F.lit(name).alias("side"), F.col("id").cast("string").alias("id"), "reason"))
+        whole = edges.join(unclosed, by, "left_anti")
+        sides.append((cut_lineage(tile(whole, cell, by)), polygon_area(whole)) if checked else counted_once(whole, cell, by))
+    (a, zone_areas), (b, system_areas) = sides
+    pairs = _overlap_of_tiles(a, b, cell, zone, system, within, CROWDED_PAIRS)
+    zone_side = zone_areas.withColumnsRenamed({"id": zone, "area": "zone_area"})
+    system_side = system_areas.withColumnsRenamed({"id": system, "area": "system_area"})
+    zone_side = zone_side.join(zone_attributes, zone, "left")
+    system_side = system_side.join(system_attributes, system, "left")
+    return pairs.join(zone_side, zone, "left").join(system_side, system, "left"), aside[0].unionByName(aside[1])
+
+
 def overlay(
     zones: DataFrame,
     systems: DataFrame,
@@ -325,17 +512,13 @@ def overlay(
 ) -> DataFrame:
     """Overlapping pairs with both areas, the shared area and all attributes.
 
-    Outlines that cover a point more than once are left out, on both sides; ``checked`` says that
-    the caller has set them aside already (see ``sound_only``).
+    What an outline covers more than once, by overlapping parts of one id or rings that cross themselves, counts once, on
+    both sides; ``checked`` says that nothing does. Outlines that are not closed are left out (see
+    ``overlay_and_quarantine``).
     """
-    if not checked:
-        zones, systems = sound_only(zones, cell), sound_only(systems, cell)
-    pairs = overlap_area(zones, systems, cell, zone, system, within)
-    zone_side = polygon_area(zones).withColumnsRenamed({"id": zone, "area": "zone_area"})
-    system_side = polygon_area(systems).withColumnsRenamed({"id": system, "area": "system_area"})
-    zone_side = zone_side.join(zone_attributes, zone, "left")
-    system_side = system_side.join(system_attributes, system, "left")
-    return pairs.join(zone_side, zone, "left").join(system_side, system, "left")
+    return overlay_and_quarantine(
+        zones, systems, cell, zone_attributes, system_attributes, zone, system, within, checked
+    )[0]
 
 
 def zonal_mean(
