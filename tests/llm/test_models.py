@@ -95,6 +95,22 @@ def test_blocks_of_broken_markup():
     assert html_text.blocks(None) == html_text.blocks("") == html_text.blocks("<p> </p>") == []
 
 
+def test_whole_paths_tell_sections_apart():
+    classes = " ".join(f"u{k}" for k in range(14))
+
+    def page(wrappers):
+        inner = f"<div class='{classes}'>" * wrappers + "<p>same words</p>" + "</div>" * wrappers
+        return f"<body><article>{inner}</article><aside class=comments>{inner}</aside></body>"
+
+    features = html_text.Features()
+    for wrappers in (1, 2, 3, 40):
+        main, side = html_text.blocks(page(wrappers))
+        assert html_text.is_main(main.path) and not html_text.is_main(side.path)
+        paths = features.of([main, side])[0]
+        assert sorted(paths[0]) != sorted(paths[1])
+        assert all(len(ids) == len(b.path) + 1 for ids, b in zip(paths, (main, side)))
+
+
 def test_pages_edge_cases(spark):
     pages = spark.createDataFrame([(1, "u", None, 3), (2, None, "", 3), (2, None, "", 3)], "page_id long, url string, html string, text int")
     model = html_text.fit(pages)

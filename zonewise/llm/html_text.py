@@ -29,6 +29,8 @@ TRAINING_PAGES, TRAINING_BYTES, VARIANTS = 400, 100_000, 3
 EPOCHS, RATE, BATCH = 6, 0.01, 32
 # Blocks of pages that are labelled together.
 BLOCKS_AT_ONCE = 8_000
+# Hashed ids that are looked up together.
+IDS_AT_ONCE = 400_000
 
 # HTML's elements without content, without text, and those that end a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -165,7 +167,7 @@ class Features:
 
     def of(self, page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         path, word = self.path.__getitem__, self.word.__getitem__
-        paths = [list(map(path, (*b.path[-24:], f"leaf {b.path[-1] if b.path else ''}"))) for b in page]
+        paths = [list(map(path, (*b.path, f"leaf {b.path[-1] if b.path else ''}"))) for b in page]
         # Every word counts: furniture is told by what it says, wherever in the block.
         words = [list(map(word, b.text.lower().split())) for b in page]
         chars = np.array([len(b.text) for b in page], float)
@@ -179,15 +181,33 @@ class Features:
         return paths, words, np.stack(measures, axis=1)
 
 
+def _runs(bags: list[list[int]]):
+    """Slices of the bags that hold about IDS_AT_ONCE ids each, so that long paths cost time but no memory."""
+    start = held = 0
+    for at, bag in enumerate(bags):
+        if held and held + len(bag) > IDS_AT_ONCE:
+            yield slice(start, at)
+            start, held = at, 0
+        held += len(bag)
+    yield slice(start, len(bags))
+
+
+def _flat(bags: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(b) for b in bags], np.int64)
+    return sizes, np.fromiter(itertools.chain.from_iterable(bags), np.int64, int(sizes.sum()))
+
+
 def _mean_rows(table: np.ndarray, bags: list[list[int]]) -> np.ndarray:
-    sizes = np.array([len(b) for b in bags])
-    flat = np.fromiter(itertools.chain.from_iterable(bags), np.int64, int(sizes.sum()))
-    sums = np.zeros((len(bags), table.shape[1]))
-    if len(flat):
-        starts = np.cumsum(sizes) - sizes
-        filled = sizes > 0
-        sums[filled] = np.add.reduceat(table[flat], starts[filled], axis=0)
-    return sums / np.maximum(sizes, 1)[:, None]
+    out = np.zeros((len(bags), table.shape[1]))
+    for run in _runs(bags):
+        sizes, flat = _flat(bags[run])
+        if len(flat):
+            starts = np.cumsum(sizes) - sizes
+            filled = sizes > 0
+            sums = np.zeros((len(sizes), table.shape[1]))
+            sums[filled] = np.add.reduceat(table[flat], starts[filled], axis=0)
+            out[run] = sums / np.maximum(sizes, 1)[:, None]
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -308,10 +328,11 @@ def train(pages: list[list[Block]], labels: list[list[bool]]) -> dict[str, np.nd
             for k, ((paths, words, _), _) in enumerate(batch):
                 for name, bags, at in (("path", paths, 0), ("word", words, PATH_SIZE)):
                     size = p[name].shape[1]
-                    counts = np.array([len(b) for b in bags])
-                    flat = np.fromiter(itertools.chain.from_iterable(bags), np.int64, int(counts.sum()))
-                    share = dx[k, : len(bags), at : at + size] / np.maximum(counts, 1)[:, None]
-                    np.add.at(grads[name], flat, np.repeat(share, counts, axis=0))
+                    shares = dx[k, : len(bags), at : at + size]
+                    for run in _runs(bags):
+                        counts, flat = _flat(bags[run])
+                        share = shares[run] / np.maximum(counts, 1)[:, None]
+                        np.add.at(grads[name], flat, np.repeat(share, counts, axis=0))
             step += 1
             for k in p:
                 m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
