@@ -92,6 +92,9 @@ def test_blocks_of_broken_markup():
     )
     found = [(b.text, html_text.is_main(b.path)) for b in html_text.blocks(html)]
     assert found == [("menu", False), ("T & t", True), ("one two", True), ("three four <5", True), ("end", False)]
+    drawn = "<article><svg class='i'/>one<p>two <svg><path d='M0'/><g/>no</svg> three</p><div/>four</article><p>five"
+    found = [(b.text, b.path) for b in html_text.blocks(drawn)]
+    assert [t for t, _ in found] == ["one", "two three", "four", "five"] and found[0][1] == ("article",)
     assert html_text.blocks(None) == html_text.blocks("") == html_text.blocks("<p> </p>") == []
 
 

@@ -35,6 +35,7 @@ IDS_AT_ONCE = 400_000
 # HTML's elements without content, without text, and those that end a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style noscript template svg iframe object".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section "
@@ -106,7 +107,11 @@ class _Reader(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
+        # Only svg, math and what stands in them can close itself.
+        foreign = tag in FOREIGN or any(t in FOREIGN for t, _ in self.open)
         self.handle_starttag(tag, attrs)
+        if foreign and tag not in VOID:
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
