@@ -73,3 +73,18 @@ def test_documents(docs):
     counted = pseudonyms.pseudonymise(given, KEY, counts=True)
     assert counted.columns.count("n_card") == 1 and {r.doc_id: r.n_card for r in counted.collect()}[3] == 1
     assert pseudonyms.pseudonymise(docs([]), KEY).collect() == []
+
+
+def test_dates_with_the_day_first_and_with_one_digit():
+    there, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", undo=True)
+    shapes = "25/12/2020 13/1/2020 5/3/2021 5/25/2021 25/5/2021 1.2.2020 31.1.1999 05/3/2021 2024-1-05 12/31/1999".split()
+    for one in shapes:
+        new, found = there(f"am {one}, so")
+        assert found == {"date": 1} and new != f"am {one}, so"
+        assert [len(p) for p in re.split(r"\D", new[3:-4])] == [len(p) for p in re.split(r"\D", one)]
+        assert back(new)[0] == f"am {one}, so"
+    days = [f"{d}/{m}/{y}" for y in (1900, 2020, 2099) for m in range(1, 13) for d in range(1, 29)]
+    assert len({there(d)[0] for d in days}) == len(days)
+    assert all(back(there(d)[0])[0] == d for d in days)
+    for none in ("32/13/2020", "30/2/2020", "1.13.2020", "1.2.2020.4"):
+        assert there(none)[1]["date"] == 0

@@ -137,21 +137,40 @@ def _phone(text: str, step: Step) -> str | None:
 
 
 def _date(text: str, step: Step) -> str | None:
-    parts = [int(p) for p in re.split(r"\D", text)]
-    if len(re.split(r"\D", text)[0]) == 4:
-        order = (0, 1, 2)
+    """Slashes are read as month/day/year, or as day/month/year if that is no date; every part keeps its width.
+
+    A date is permuted among those that are written and read in the same way, so that the way back finds it.
+    """
+    parts = re.split(r"\D", text)
+    if len(parts[0]) == 4:
+        orders = [(0, 1, 2)]
     else:
-        order = (2, 0, 1) if "/" in text else (2, 1, 0)
-    try:
-        day = datetime.date(*(parts[i] for i in order)).toordinal()
-    except ValueError:
+        orders = [(2, 0, 1), (2, 1, 0)] if "/" in text else [(2, 1, 0)]
+
+    def read(values: list[str]) -> tuple[int, tuple[int, ...]] | None:
+        for order in orders:
+            try:
+                return datetime.date(*(int(values[i]) for i in order)).toordinal(), order
+            except ValueError:
+                pass
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+
+    found = read(parts)
+    if found is None or not FIRST_DAY <= found[0] <= LAST_DAY:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + step(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-    values = dict(zip(order, (f"{new.year:04}", f"{new.month:02}", f"{new.day:02}"), strict=True))
-    separator = re.search(r"\D", text)[0]
-    return separator.join(values[i] for i in range(3))
+    day, order = found
+    widths = [len(parts[i]) for i in order]
+    label = "date"
+    if widths != [4, 2, 2] or order != orders[0]:
+        label = f"date|{order}|{widths}"
+    while True:
+        day = FIRST_DAY + step(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, label)
+        new = datetime.date.fromordinal(day)
+        values = dict(zip(order, (f"{v:0{w}}" for v, w in zip((new.year, new.month, new.day), widths, strict=True)), strict=True))
+        fits = all(len(values[i]) == w for i, w in zip(order, widths, strict=True))
+        if fits and read([values[i] for i in range(3)]) == (day, order):
+            break
+    return _fill(text, "".join(values[i] for i in range(3)))
 
 
 def _iban_check(country: str, body: str) -> int:
@@ -184,7 +203,7 @@ def _email(text: str, step: Step) -> str | None:
 
 _FINDERS = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w/-])(?!\.\d))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-])(?!\.\d))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)(?!\.\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<=[ .-])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
     r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+-])\d{3}-\d{3}-\d{4}(?![\w-]))"
