@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Rows per Arrow batch: texts are long, so the default of 10,000 rows would be too much memory.
 BATCH_ROWS = 512
@@ -58,6 +60,11 @@ def over_batches(
     return df.mapInArrow(run, schema)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow form of a DDL schema."""
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of an Arrow text column, null as the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]

@@ -12,10 +12,13 @@ from zonewise.llm import (
     decontaminate,
     html_text,
     language,
+    licenses,
     neardup,
     packing,
     pseudonyms,
     quality,
+    role_repair,
+    runs,
     sharding,
     token_files,
     toxicity,
@@ -97,6 +100,20 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    planted = docs.select("doc_id", runs.plant_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    return runs.digest(runs.periodic_runs(planted, ["doc_id"]))
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.report(licenses.scan(_table(spark, folder, "documents"), ["doc_id"])).drop("spans")
+
+
+def op13_role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return role_repair.report(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -108,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
+    "op13_role_repair": op13_role_repair,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_SQL = (
