@@ -70,11 +70,7 @@ class Parser:
         self.known = {(0, -1): 0}
         self.moves: dict[tuple[int, str], tuple[int, ...]] = {}
         self.terminals = sorted({c for _, body in rules[1:] for c in body if c not in names})
-        # All stacks that a row can stand before; the role grammar has eight.
-        self.tops = [0]
-        for node in self.tops:
-            for symbol in self.terminals:
-                self.tops += [n for n in self.shift(node, symbol) if n not in self.tops]
+        self.tops: list[int] = []
 
     @staticmethod
     def _follow(rules, names):
@@ -158,6 +154,15 @@ class Parser:
             self.moves[node, symbol] = tuple(sorted(reached))
         return self.moves[node, symbol]
 
+    def stacks(self) -> list[int]:
+        """All stacks that a row can stand before. The role grammar has eight; one that nests without end has no such list."""
+        if not self.tops:
+            self.tops = [0]
+            for node in self.tops:
+                for symbol in self.terminals:
+                    self.tops += [n for n in self.shift(node, symbol) if n not in self.tops]
+        return self.tops
+
     def accepts(self, node: int) -> bool:
         return any(self.nodes[n][0] in self.accepting for n in self._reduced(node, END))
 
@@ -215,8 +220,9 @@ def finish(tops: Tops) -> tuple[int, str]:
 @lru_cache(maxsize=50_000)
 def block(initials: str, kinds: bytes) -> tuple[tuple[tuple[int, int, str], ...], ...]:
     """For each stack that a block of rows may begin with, the stacks it ends with: (node, cost, audit)."""
+    starts = parser().stacks()
     out = [()] * len(parser().nodes)
-    for node in parser().tops:
+    for node in starts:
         tops: Tops = {node: (0, "")}
         for initial, kind in zip(initials, kinds, strict=True):
             tops = step(tops, initial, kind)
