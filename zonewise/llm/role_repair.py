@@ -169,7 +169,10 @@ class Parser:
 
 @lru_cache(maxsize=1)
 def parser() -> Parser:
-    return Parser()
+    """The role parser with all its stacks found at once, so that every process numbers them alike."""
+    made = Parser()
+    made.stacks()
+    return made
 
 
 Tops = dict[int, tuple[int, str]]
