@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from queries.views import Views, with_views
 from queries.weighting import rounded, settled
 from zonewise.operators import geometry as g
+from zonewise.operators import outlines
 from zonewise.operators import overlay as o
 from zonewise.operators import weights
 from zonewise.plans import exposure
@@ -148,6 +149,51 @@ def crossed_rings(v: Views) -> DataFrame:
     return rounded(o.invalid_polygons(edges, CELL), area=3, excess=3)
 
 
+def _outline_figures(edges: DataFrame) -> DataFrame:
+    return rounded(outlines.summary(edges), area=3, perimeter=3)
+
+
+def repaired_outlines(v: Views) -> DataFrame:
+    """Each system as a box drawn clockwise and left open, and beside it one drawn as a figure of eight: repaired."""
+    corners = (((0, 0), (0, 1), (1, 1), (1, 0)), ((2, 0), (3, 1), (3, 0), (2, 1)))
+    shapes = []
+    for part, points in enumerate(corners):
+        drawn = F.array(
+            *(F.struct((F.col("x0") + F.col("w") * dx).alias("x"), (F.col("y0") + F.col("h") * dy).alias("y")) for dx, dy in points)
+        )
+        shapes.append(
+            v.system_boxes().select(F.col("pwsid").alias("id"), F.posexplode(drawn).alias("seq", "p")).select(
+                "id", F.lit(part).alias("part"), F.lit(0).alias("ring"), "seq", "p.x", "p.y"
+            )
+        )
+    return _outline_figures(outlines.repair(g.edges_from_vertices(shapes[0].unionByName(shapes[1])), CELL))
+
+
+def features_of_boxes(v: Views, places: list[tuple[float, float, float, float]]) -> DataFrame:
+    """Each system as several box features under one id: (x, y, width, height) in shares of the system's box."""
+    x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    named = [(x0 + w * x, y0 + h * y, w * dx, h * dy) for x, y, dx, dy in places]
+    each = F.array(*(F.struct(*(c.alias(n) for c, n in zip(box, ("x0", "y0", "w", "h")))) for box in named))
+    features = v.system_boxes().select("pwsid", F.posexplode(each).alias("row", "box"))
+    features = features.select(F.concat_ws("#", "pwsid", "row").alias("feature"), "box.*")
+    edges = g.edges_from_vertices(boxes(features, "feature"))
+    return edges.select(
+        F.substring_index("id", "#", 1).alias("id"), F.substring_index("id", "#", -1).alias("row"), "part", "ring", *g.ENDS
+    )
+
+
+def dissolved_outlines(v: Views) -> DataFrame:
+    """Three overlapping features under one id, two of them equal: one outline without inner edges."""
+    thrice = features_of_boxes(v, [(0, 0, 1, 1), (0, 0, 1, 1), (0.25, 0, 1, 1)])
+    return _outline_figures(outlines.dissolve(thrice, "id", "row", CELL))
+
+
+def dissolved_frames(v: Views) -> DataFrame:
+    """Four features around a gap, and a fifth inside it: one outline with a hole, and a part within that hole."""
+    arms = [(0, 0, 1, 0.25), (0, 0.75, 1, 0.25), (0, 0, 0.25, 1), (0.75, 0, 0.25, 1), (0.375, 0.375, 0.25, 0.25)]
+    return _outline_figures(outlines.dissolve(features_of_boxes(v, arms), "id", "row", CELL))
+
+
 def project_albers(v: Views) -> DataFrame:
     degrees = v.table("customer").select(
         "c_custkey",
@@ -194,6 +240,9 @@ QUERIES = {
     "dissolve": dissolve,
     "overlapping_parts": overlap_of_parts,
     "crossed_rings": crossed_rings,
+    "repaired_outlines": repaired_outlines,
+    "dissolved_outlines": dissolved_outlines,
+    "dissolved_frames": dissolved_frames,
     "project_albers": project_albers,
     "region_routing": region_routing,
     "union_regions": union_regions,
@@ -299,6 +348,15 @@ from box_pairs group by 1""", box_pairs=BOX_PAIRS),
 select pwsid as id, round(2 * w * h, 4) as area, round(2 * (w * 0.75) * h, 4) as excess from system_boxes"""),
     "crossed_rings": with_views(
         "select pwsid as id, 0.0::double as area, round(w * h / 2, 3) as excess from system_boxes"),
+    "repaired_outlines": with_views("""
+select pwsid as id, round(1.5 * w * h, 3) as area, round(2 * (w + h) + 2 * h + 2 * sqrt(w * w + h * h), 3) as perimeter,
+       3 as n_parts, 0 as n_holes from system_boxes"""),
+    "dissolved_outlines": with_views("""
+select pwsid as id, round(1.25 * w * h, 3) as area, round(2.5 * w + 2 * h, 3) as perimeter, 1 as n_parts, 0 as n_holes
+from system_boxes"""),
+    "dissolved_frames": with_views("""
+select pwsid as id, round(0.8125 * w * h, 3) as area, round(3.5 * (w + h), 3) as perimeter, 2 as n_parts, 1 as n_holes
+from system_boxes"""),
     "project_albers": """
 with c as (select 0.08181919104281579 as e, 6378137.0::double as a),
 k as (select e, a, e * e as e2, sin(radians(23)) as s0, sin(radians(29.5)) as s1, sin(radians(45.5)) as s2 from c),
