@@ -121,18 +121,44 @@ class Albers:
     parallel2: float
 
 
+@dataclass(frozen=True)
+class TransverseMercator:
+    """Parameters of a transverse Mercator zone (degrees; the false origin in metres; metres in a unit of the result)."""
+
+    latitude: float
+    longitude: float
+    scale: float
+    false_easting: float
+    false_northing: float = 0.0
+    unit: float = 1.0
+
+
+@dataclass(frozen=True)
+class Ellipsoid:
+    semi_major: float
+    flattening: float
+
+
+US_FOOT = 1200 / 3937
 # Published projection parameters per region.
 CONTIGUOUS = Albers(23.0, -96.0, 29.5, 45.5)  # EPSG:5070
 ALASKA = Albers(50.0, -154.0, 55.0, 65.0)  # EPSG:3338
 HAWAII = Albers(13.0, -157.0, 8.0, 18.0)  # any equal-area choice gives the same weights
+HAWAII_ZONE_3 = TransverseMercator(21 + 1 / 6, -158.0, 0.99999, 500000.0, unit=US_FOOT)  # EPSG:3759
 # The GRS 80 ellipsoid.
 SEMI_MAJOR_M = 6378137.0
 FLATTENING = 1 / 298.257222101
+GRS_80 = Ellipsoid(SEMI_MAJOR_M, FLATTENING)
 
 
 def project_albers(df: DataFrame, projection: Albers, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Add planar ``x``, ``y`` in metres from degrees (ellipsoidal forward formula)."""
-    e2 = FLATTENING * (2 - FLATTENING)
+    x, y = _albers(projection, F.col(lon), F.col(lat), GRS_80)
+    return df.withColumn("x", x).withColumn("y", y)
+
+
+def _albers(projection: Albers, lon: Column, lat: Column, shape: Ellipsoid) -> tuple[Column, Column]:
+    e2 = shape.flattening * (2 - shape.flattening)
     e = math.sqrt(e2)
 
     def q_of(sine, log):
@@ -146,7 +172,54 @@ def project_albers(df: DataFrame, projection: Albers, lon: str = "lon", lat: str
     )
     n = (m_squared(s1) - m_squared(s2)) / (q_of(s2, math.log) - q_of(s1, math.log))
     c = m_squared(s1) + n * q_of(s1, math.log)
-    rho0 = SEMI_MAJOR_M * math.sqrt(c - n * q_of(s0, math.log)) / n
-    rho = F.sqrt(F.lit(c) - n * q_of(F.sin(F.radians(lat)), F.log)) * (SEMI_MAJOR_M / n)
-    theta = F.radians(F.col(lon) - projection.longitude) * n
-    return df.withColumn("x", rho * F.sin(theta)).withColumn("y", F.lit(rho0) - rho * F.cos(theta))
+    rho0 = shape.semi_major * math.sqrt(c - n * q_of(s0, math.log)) / n
+    rho = F.sqrt(F.lit(c) - n * q_of(F.sin(F.radians(lat)), F.log)) * (shape.semi_major / n)
+    theta = F.radians(lon - projection.longitude) * n
+    return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
+
+
+def _transverse_mercator(p: TransverseMercator, lon: Column, lat: Column, shape: Ellipsoid) -> tuple[Column, Column]:
+    """Krueger's series in the third flattening to its fourth power: below a millimetre within 30 degrees of the meridian."""
+    n = shape.flattening / (2 - shape.flattening)
+    e = math.sqrt(shape.flattening * (2 - shape.flattening))
+    radius = shape.semi_major / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * p.scale
+    series = (
+        n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3 + 41 / 180 * n**4,
+        13 / 48 * n**2 - 3 / 5 * n**3 + 557 / 1440 * n**4,
+        61 / 240 * n**3 - 103 / 140 * n**4,
+        49561 / 161280 * n**4,
+    )
+    start = math.atan(math.sinh(math.atanh(math.sin(math.radians(p.latitude))) - e * math.atanh(e * math.sin(math.radians(p.latitude)))))
+    start += sum(a * math.sin(2 * j * start) for j, a in enumerate(series, 1))
+    sine, east = F.sin(F.radians(lat)), F.radians(lon - p.longitude)
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    xi, eta = F.atan2(t, F.cos(east)), F.asinh(F.sin(east) / F.sqrt(t * t + F.cos(east) ** 2))
+    north, along = xi, eta
+    for j, a in enumerate(series, 1):
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        along = along + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    x = (F.lit(p.false_easting) + radius * along) / p.unit
+    return x, (F.lit(p.false_northing) + radius * (north - start)) / p.unit
+
+
+Projection = Albers | TransverseMercator
+# Regions not named here use the first.
+REGIONAL: dict[str, Projection] = {"contiguous": CONTIGUOUS, "AK": ALASKA, "HI": HAWAII_ZONE_3}
+
+
+def projected(projection: Projection, lon: Column, lat: Column, shape: Ellipsoid = GRS_80) -> Column:
+    """Struct of planar ``x`` and ``y``."""
+    form = _albers if isinstance(projection, Albers) else _transverse_mercator
+    x, y = form(projection, lon, lat, shape)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def project_by_region(
+    df: DataFrame, region: str = "region", lon: str = "lon", lat: str = "lat", projections: dict[str, Projection] = REGIONAL
+) -> DataFrame:
+    """Add planar ``x``, ``y``, each row in its region's projection; the first one serves all other regions."""
+    names = list(projections)
+    at = projected(projections[names[0]], F.col(lon), F.col(lat))
+    for name in names[1:]:
+        at = F.when(F.col(region) == name, projected(projections[name], F.col(lon), F.col(lat))).otherwise(at)
+    return df.withColumn("__at", at).withColumns({"x": F.col("__at.x"), "y": F.col("__at.y")}).drop("__at")
