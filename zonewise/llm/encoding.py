@@ -21,6 +21,10 @@ REMEMBERED_WORDS = 700_000
 # White space other than the space and the line feed, by any library's reckoning.
 _ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+# Marks other than the apostrophe between a letter or digit and a space: always words of their own.
+_MARKS = re.compile(r"([!-&(-/:-@\[-`{-~](?<=[^\W_].)[!-&(-/:-@\[-`{-~]*)(?![^ \n])")
+# How byte-level vocabularies write a space.
+_SPACE_LETTER = "\u0120"
 # Key prefixes: a word after a space has none, any other string is kept as it is behind this mark.
 _AS_IS = "\x00"
 
@@ -74,7 +78,18 @@ class Encoder:
         """Encode new words and append their ids to the flat store; a count of -1 marks words with odd spaces."""
         odd = [self.spaces_matter and _ODD_SPACE.search(w) is not None for w in words]
         plain = [self._plain(w) for w in words]
-        ids = self._encode(plain)
+        # A word of ASCII letters is one word to both vocabularies: the library's model alone gives its ids.
+        ids: list = [None] * len(plain)
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for i, w in enumerate(plain):
+            bare = w[1:] if w[0] == " " else w
+            if bare.isalpha() and bare.isascii():
+                spelt = bare.lower() if not self.spaces_matter else bare if bare is w else _SPACE_LETTER + bare
+                ids[i] = [t.id for t in tokenize(spelt)]
+            else:
+                rest.append(i)
+        for i, found in zip(rest, self._encode([plain[i] for i in rest]), strict=True):
+            ids[i] = found
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         total, at = int(counts.sum()), len(self.code)
         if self.used + total > len(self.flat):
@@ -98,13 +113,13 @@ class Encoder:
     def _words(self, text: str) -> list[str]:
         """The text cut where no token can cross, as keys of the store."""
         if not self.spaces_matter:
-            return [w for w in text.replace("\n", " ").split(" ") if w]
+            return [w for w in _MARKS.sub(r" \1", text).replace("\n", " ").split(" ") if w]
         if not text:
             return []
         doubled = "  " in text or "\n\n" in text or "\n " in text or " \n" in text
         if doubled or _AS_IS in text or text[0] in " \n" or text[-1] in " \n":
             return [_AS_IS + run for run in _RUNS.findall(text)]
-        words = text.replace("\n", " \n").split(" ")
+        words = _MARKS.sub(f" {_AS_IS}\\1", text).replace("\n", " \n").split(" ")
         words[0] = _AS_IS + words[0]
         return words
 
