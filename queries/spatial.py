@@ -12,6 +12,7 @@ from zonewise.operators import outlines
 from zonewise.operators import overlay as o
 from zonewise.operators import weights
 from zonewise.plans import exposure
+from zonewise.sources import wkb
 
 CELL = 16.0
 
@@ -203,6 +204,23 @@ def project_albers(v: Views) -> DataFrame:
     return rounded(g.project_albers(degrees, g.CONTIGUOUS), x=2, y=2)
 
 
+def hex_outlines(v: Views) -> DataFrame:
+    """Zones and systems written as hexadecimal outlines and read back."""
+    vertices = boxes(v.zone_boxes(), "zone_id").unionByName(boxes(v.system_boxes(), "pwsid"))
+    edges = g.edges_from_vertices(wkb.vertices_from_hex_wkb(wkb.hex_wkb_from_vertices(vertices), "geom_wkb"))
+    return rounded(g.bbox(edges).join(g.area(edges), "id"), xmin=4, ymin=4, xmax=4, ymax=4, area=4)
+
+
+def projected_regions(v: Views) -> DataFrame:
+    """Places in three regions, each in its region's projection."""
+    share = F.col("c_custkey") * 37 % 580 / F.lit(580.0)
+    placed = v.table("customer").select("c_custkey", share.alias("u"), (F.col("c_custkey") * 53 % 470 / 10.0 + 18).alias("lat"))
+    placed = placed.withColumn("region", F.when(F.col("lat") >= 50, "AK").when(F.col("lat") < 23, "HI").otherwise("contiguous"))
+    lon = F.when(F.col("region") == "AK", F.col("u") * 40 - 175).when(F.col("region") == "HI", F.col("u") * 6 - 160.5)
+    placed = placed.withColumn("lon", lon.otherwise(F.col("u") * 58 - 125)).drop("u")
+    return rounded(g.project_by_region(placed), lon=6, x=2, y=2)
+
+
 def region_routing(v: Views) -> DataFrame:
     routed = o.with_region(v.bg_pws())
     by_zone = routed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("zone"))
@@ -243,7 +261,9 @@ QUERIES = {
     "repaired_outlines": repaired_outlines,
     "dissolved_outlines": dissolved_outlines,
     "dissolved_frames": dissolved_frames,
+    "hex_outlines": hex_outlines,
     "project_albers": project_albers,
+    "projected_regions": projected_regions,
     "region_routing": region_routing,
     "union_regions": union_regions,
 }
@@ -371,6 +391,44 @@ r as (select *, a * sqrt(cc - n * q0) / n as rho0, radians(lon + 96) * n as th,
              a * sqrt(cc - n * (1 - e2) * (s / (1 - e2 * s * s) - ln((1 - e * s) / (1 + e * s)) / (2 * e))) / n as rho
       from d, n)
 select c_custkey, lon, lat, round(rho * sin(th), 2) as x, round(rho0 - rho * cos(th), 2) as y from r""",
+    "hex_outlines": with_views("""
+select id, round(x0, 4) as xmin, round(y0, 4) as ymin, round(x0 + w, 4) as xmax, round(y0 + h, 4) as ymax, round(w * h, 4) as area
+from (select zone_id as id, x0, y0, w, h from zone_boxes union all select pwsid, x0, y0, w, h from system_boxes)"""),
+    "projected_regions": """
+with c as (select 1 / 298.257222101 as f, 6378137.0::double as a, 1200 / 3937.0::double as foot),
+p(region, lat0, lon0, p1, p2) as (values ('contiguous', 23.0, -96.0, 29.5, 45.5), ('AK', 50.0, -154.0, 55.0, 65.0)),
+d as (select c_custkey, c_custkey * 37 % 580 / 580.0::double as u, c_custkey * 53 % 470 / 10.0::double + 18 as lat from customer),
+r as (select *, case when lat >= 50 then 'AK' when lat < 23 then 'HI' else 'contiguous' end as region from d),
+g as (select c_custkey, lat, region, case region when 'AK' then u * 40 - 175 when 'HI' then u * 6 - 160.5 else u * 58 - 125 end as lon
+      from r),
+k as (select *, sqrt(f * (2 - f)) as e, f * (2 - f) as e2, f / (2 - f) as n from c),
+s as (select p.*, e, e2, a, sin(radians(lat0)) as s0, sin(radians(p1)) as s1, sin(radians(p2)) as s2 from p, k),
+q as (select *, (1 - e2) * (s0 / (1 - e2 * s0 * s0) - ln((1 - e * s0) / (1 + e * s0)) / (2 * e)) as q0,
+             (1 - e2) * (s1 / (1 - e2 * s1 * s1) - ln((1 - e * s1) / (1 + e * s1)) / (2 * e)) as q1,
+             (1 - e2) * (s2 / (1 - e2 * s2 * s2) - ln((1 - e * s2) / (1 + e * s2)) / (2 * e)) as q2,
+             (1 - s1 * s1) / (1 - e2 * s1 * s1) as m1, (1 - s2 * s2) / (1 - e2 * s2 * s2) as m2 from s),
+n as (select *, (m1 - m2) / (q2 - q1) as nn, m1 + (m1 - m2) / (q2 - q1) * q1 as cc from q),
+al as (select c_custkey, lat, g.region, lon, radians(lon - lon0) * nn as th, a * sqrt(cc - nn * q0) / nn as rho0,
+         a * sqrt(cc - nn * (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) ** 2)
+           - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e))) / nn as rho
+       from g join n on n.region = g.region),
+t as (select *, n / 2 - 2 / 3.0::double * n ** 2 + 5 / 16.0::double * n ** 3 + 41 / 180.0::double * n ** 4 as a1,
+             13 / 48.0::double * n ** 2 - 3 / 5.0::double * n ** 3 + 557 / 1440.0::double * n ** 4 as a2,
+             61 / 240.0::double * n ** 3 - 103 / 140.0::double * n ** 4 as a3, 49561 / 161280.0::double * n ** 4 as a4,
+             a / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) * 0.99999 as big, radians(21 + 1 / 6.0::double) as b0 from k),
+o as (select *, atan(sinh(atanh(sin(b0)) - e * atanh(e * sin(b0)))) as z0 from t),
+h as (select *, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) as tt, radians(lon + 158) as l
+      from g, o where region = 'HI'),
+w as (select *, atan2(tt, cos(l)) as xi, asinh(sin(l) / sqrt(tt * tt + cos(l) ** 2)) as eta from h),
+tm as (select c_custkey, lat, region, lon,
+         (500000 + big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)
+           + a4 * cos(8 * xi) * sinh(8 * eta))) / foot as x,
+         big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)
+           + a4 * sin(8 * xi) * cosh(8 * eta) - z0 - a1 * sin(2 * z0) - a2 * sin(4 * z0) - a3 * sin(6 * z0) - a4 * sin(8 * z0)) / foot as y
+       from w)
+select c_custkey, lat, region, round(lon, 6) as lon, round(x, 2) as x, round(y, 2) as y from tm
+union all
+select c_custkey, lat, region, round(lon, 6), round(rho * sin(th), 2), round(rho0 - rho * cos(th), 2) from al""",
     "region_routing": with_views("""
 select case substr(geoid, 1, 2) when '02' then 'AK' else 'contiguous' end as region, count(*) as n, 'zone' as what
 from bg_pws group by 1

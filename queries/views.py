@@ -63,10 +63,10 @@ class Views:
         )
 
     def measures(self) -> DataFrame:
-        """Wide measurements per system, with gaps."""
+        """Wide measurements per system, with gaps; systems with a balance above 8,500 were never measured."""
         key, balance = F.col("s_suppkey"), F.col("s_acctbal")
         some, other = key % 5 != 0, key % 4 == 0
-        return self.table("supplier").where(key % 7 != 3).select(
+        return self.table("supplier").where(balance <= 8500).select(
             self._system_id("s_suppkey").alias("pwsid"),
             F.when(some, F.abs(balance) / 100).alias("dcpa_medpws"),
             F.when(some, F.abs(balance) / 50).alias("dcpa_maxpws"),
@@ -98,9 +98,9 @@ class Views:
         )
 
     def master(self) -> DataFrame:
-        """Reference list of systems with activity, type, agency and population."""
+        """Reference list of systems with activity, type, agency and population; those with a balance below 500 are not on it."""
         key = F.col("s_suppkey")
-        return self.table("supplier").where(key % 13 != 5).select(
+        return self.table("supplier").where(F.col("s_acctbal") >= 500).select(
             self._system_id("s_suppkey").alias("pwsid"),
             F.when(key % 11 == 0, None)
             .when(key % 3 == 0, "I")
@@ -175,7 +175,7 @@ select concat('S', lpad(cast(s_suppkey as string), 6, '0')) as pwsid,
        case when s_suppkey % 4 <> 0 then null else abs(s_acctbal) / 10 end as pfoa_35_medpws,
        case when s_suppkey % 4 <> 0 then null when s_acctbal > 8000 then cast(1 as double)
             else cast(0 as double) end as pfoa_35_detectpws
-from supplier where s_suppkey % 7 <> 3""",
+from supplier where s_acctbal <= 8500""",
     "published": """
 select concat('S', lpad(cast(s_suppkey as string), 6, '0')) as pwsid,
        case when s_suppkey % 9 <> 0 then cast((s_suppkey * 977 % 1000 + 1) * 10000 as double) end
@@ -198,7 +198,7 @@ select concat('S', lpad(cast(s_suppkey as string), 6, '0')) as pwsid,
        case when s_suppkey % 2 = 0 then 'CWS' when s_suppkey % 4 = 1 then 'NTNCWS' else 'TNCWS' end as type_code,
        lpad(cast(s_nationkey % 12 as string), 2, '0') as agency,
        s_suppkey % 6 as pop_cat, cast(s_suppkey * 977 % 1000 + 1 as bigint) as population
-from supplier where s_suppkey % 13 <> 5""",
+from supplier where s_acctbal >= 500""",
     "zone_boxes": """
 select concat('Z', lpad(cast(p_partkey as string), 6, '0')) as zone_id,
        cast((p_partkey % 40) * 10 as double) as x0, cast(floor(p_partkey / 40) * 10 as double) as y0,

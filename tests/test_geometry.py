@@ -182,3 +182,37 @@ def test_within_keeps_regions_apart(spark):
     assert o.overlap_area(z, s.withColumn("region", F.lit("HI")), 1.0, within=["region"]).count() == 0
     same = o.overlap_area(z, s.withColumn("region", F.lit("AK")), 1.0, within=["region"]).first()
     assert (same.region, same.overlap_area) == ("AK", 4.0)
+
+
+def test_pieces_that_crowd_one_corner_are_cut_level_by_level(spark):
+    rng = random.Random(8)
+    z, s = [], []
+    for i in range(30):
+        z += polygon(f"z{i}", box(rng.uniform(0, 0.9), rng.uniform(0, 0.9), 0.05, 0.05))
+        s += polygon(f"s{i}", box(rng.uniform(0, 0.9), rng.uniform(0, 0.9), 0.07, 0.07))
+    z, s = edges(spark, z), edges(spark, s)
+    sides = [o.tile(e, 100.0) for e in (z, s)]
+    limit = 300
+    (a, b), place = o._levelled(sides, [["id"], ["id"]], ["c", "r"], 100.0, limit)
+    pairs = a.groupBy(*place).agg(F.count(F.lit(1)).alias("na")).join(b.groupBy(*place).agg(F.count(F.lit(1)).alias("nb")), place)
+    # All of them lie in one cell, on a ten-thousandth of it.
+    assert sides[0].count() * sides[1].count() > 10 * limit
+    assert pairs.agg(F.max(F.col("na") * F.col("nb"))).first()[0] <= limit
+    plain = {(r.zone_id, r.pwsid): r.overlap_area for r in o.overlap_area(z, s, 100.0).collect()}
+    cut = {(r.zone_id, r.pwsid): r.overlap_area for r in o.overlap_area(z, s, 100.0, crowded_pairs=limit).collect()}
+    assert cut == {k: pytest.approx(v, abs=1e-12) for k, v in plain.items()} and len(cut) > 2
+
+
+def test_inner_pixels_are_runs(spark):
+    rows = polygon("big", box(0.5, 0.25, 300, 200)) + polygon("tri", [(10, 10), (90, 15), (30, 80)])
+    rows += polygon("ring", box(400, 0, 60, 60)) + polygon("ring", box(420, 20, 20, 20), ring=1)
+    given = edges(spark, rows)
+    edge, runs = o.pixel_cover(given, 1.0)
+    assert edge.where("id = 'big'").count() + runs.where("id = 'big'").count() < 1500
+    pixels = spark.range(470 * 210).selectExpr("cast(id % 470 as int) as px", "cast(id div 470 as int) as py", "(id * 37 % 101) * 1.0d as value")
+    pixels = pixels.where("px % 7 <> 3 or py % 5 <> 2")
+    want = o.cell_areas(o.tile(given, 1.0)).join(pixels.selectExpr("cast(px as bigint) as c", "cast(py as bigint) as r", "value"), ["c", "r"])
+    want = want.groupBy("id").agg((F.sum(F.col("value") * F.col("area")) / F.sum("area")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    want = {r.id: (pytest.approx(r["mean"], rel=1e-9), r.n) for r in want.collect()}
+    got = {r.zone_id: (r["mean"], r.n_pixels) for r in o.zonal_mean(given, pixels, 1.0).collect()}
+    assert got == want and got["big"][1] > 50_000

@@ -162,3 +162,11 @@ def test_join_groups_matches_null_keys_and_keeps_column_order(spark):
     assert got.columns == ["id", "k", "v"]
     values = {r.id: r.v for r in got.collect()}
     assert len(values) == 300 and values[0] == 1 and values[2] == 3 and values[4] == 2 and values[7] is None
+
+
+def test_repeated_measurements_give_a_system_one_row(spark, overlay, measures):
+    served = weights.served_population(overlay, measures)
+    published = spark.createDataFrame([("S1", 100.0)], "pwsid string, population_served_count double")
+    twice = measures.unionByName(spark.createDataFrame([("S1", 1.0, 1.0)], measures.schema))
+    rows = exposure.system_exposure(served, twice, published).where("pwsid = 'S1'").collect()
+    assert [r.dcpa_detectpws for r in rows] == [1.0]

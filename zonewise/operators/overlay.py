@@ -13,7 +13,7 @@ of their pieces of ``sign * sign * integral of min(piece a, piece b)``. So the w
 overlay is one equi-join on the cell and one sum: no candidate pairs by bounding
 box, no duplicate removal, and edges far apart never meet. Work grows with the
 number of edges and cells, not with the product of two outlines. Crowded cells are
-cut again on a finer grid.
+cut again, level by level, until none is crowded.
 
 Whether an end lies above a grid line is decided once, from its integer row, so
 rounding moves areas by no more than rounding does.
@@ -37,6 +37,13 @@ CROWDED_PAIRS = 1_000_000
 # The same for the pieces of one polygon where they are united.
 UNITED_PAIRS = 10_000
 TARGET_PIECES = 64
+# What names a part of a cell: how many times the cell is cut a side, and the part's column and row.
+PARTS = ["cuts", "fc", "fr"]
+# Cutting does not thin out cells of so few pieces: what one edge leaves in a cell, or a few that meet in a point.
+FEW_PIECES = 16
+# A level halves a side so often; no part is finer than a cell by more than FINEST_CUTS, where only pieces that meet in one point
+# are still together.
+LEAST_HALVINGS, MOST_HALVINGS, FINEST_CUTS = 2, 6, 1 << 12
 # Overlaps below this share of the absolute terms that make them up are rounding.
 ROUNDING = 1e-12
 
@@ -143,6 +150,16 @@ def _cut_rows(columns: DataFrame, keep: Sequence[str], size: Column) -> DataFram
     )
 
 
+def _left_crossings(columns: DataFrame, keep: Sequence[str], size: Column) -> DataFrame:
+    """(keep..., c, __row, __s, __size): how the winding changes at a column's left border in each row crossed there."""
+    return (
+        columns.where(F.col("from_left") & (F.col("xl") < F.col("xr")))
+        .groupBy(*keep, "c", F.col("__ra").alias("__row"))
+        .agg(F.sum("s").alias("__s"), F.max(size).alias("__size"))
+        .where(F.col("__s") != 0)
+    )
+
+
 def _corner_lids(columns: DataFrame, keep: Sequence[str], size: Column, bounded: bool) -> DataFrame:
     """Whole-top lids of the cells whose top left corner is inside.
 
@@ -150,12 +167,7 @@ def _corner_lids(columns: DataFrame, keep: Sequence[str], size: Column, bounded:
     to a cell before (``bounded``) may reach down to the cell's own floor. A grid column of one polygon has at most as many rows here as the grid has in
     its height, after aggregation.
     """
-    starts = (
-        columns.where(F.col("from_left") & (F.col("xl") < F.col("xr")))
-        .groupBy(*keep, "c", F.col("__ra").alias("__row"))
-        .agg(F.sum("s").alias("__s"), F.max(size).alias("__size"))
-        .where(F.col("__s") != 0)
-    )
+    starts = _left_crossings(columns, keep, size)
     downwards = Window.partitionBy(*keep, "c").orderBy(F.desc("__row"))
     runs = starts.select(
         *keep,
@@ -197,39 +209,59 @@ def cell_areas(tiles: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     return sums.where(F.col("area") > ROUNDING * F.col("__terms")).drop("__terms")
 
 
-def _refine(tiles: DataFrame, crowded: DataFrame, keep: Sequence[str], place: Sequence[str], cell: float) -> DataFrame:
-    """Cut the pieces of crowded cells again; the others pass as they are."""
-    marked = tiles.join(crowded, list(place), "left")
-    calm = marked.where(F.col("cuts").isNull()).withColumns(
+def _whole(tiles: DataFrame) -> DataFrame:
+    """Tiles as cells that have not been cut: one cut, of which this is column and row 0."""
+    return tiles.withColumns(
         {"cuts": F.lit(1), "fc": F.lit(0).cast("bigint"), "fr": F.lit(0).cast("bigint")}
     )
-    carried = [*dict.fromkeys([*keep, "__c", "__r", "cuts"])]
-    again = marked.where(F.col("cuts").isNotNull()).withColumnsRenamed({"c": "__c", "r": "__r"})
-    fine = _cut(again.select(*carried, *PIECE), carried, F.lit(float(cell)) / F.col("cuts"), bounded=True)
-    fine = fine.withColumnsRenamed({"c": "fc", "r": "fr"}).withColumnsRenamed({"__c": "c", "__r": "r"})
+
+
+def _refine(tiles: DataFrame, crowded: DataFrame, keep: Sequence[str], place: Sequence[str], cell: float) -> DataFrame:
+    """Cut the pieces of crowded cells, each ``more`` times a side; the others pass as they are."""
+    marked = tiles.join(crowded, list(place), "left")
+    calm = marked.where(F.col("more").isNull()).drop("more")
+    names = {n: f"__{n}" for n in ("c", "r", *PARTS)}
+    carried = [*dict.fromkeys([*(n for n in keep if n not in names), *names.values(), "more"])]
+    again = marked.where(F.col("more").isNotNull()).withColumnsRenamed(names)
+    size = F.lit(float(cell)) / (F.col("__cuts") * F.col("more"))
+    fine = _cut(again.select(*carried, *PIECE), carried, size, bounded=True)
+    inner = {"fc": F.col("__fc") * F.col("more") + F.col("c"), "fr": F.col("__fr") * F.col("more") + F.col("r")}
+    fine = fine.withColumns({**inner, "cuts": F.col("__cuts") * F.col("more"), "c": F.col("__c"), "r": F.col("__r")})
     return calm.unionByName(fine.select(calm.columns))
 
 
-def _crowded(a: DataFrame, b: DataFrame, place: Sequence[str], limit: int) -> DataFrame:
-    """The crowded cells, all of them, with the cuts they deserve."""
-    both = a.select(*place, F.lit(1).alias("na"), F.lit(0).alias("nb")).unionByName(
-        b.select(*place, F.lit(0).alias("na"), F.lit(1).alias("nb"))
-    )
-    met = both.groupBy(*place).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+def _crowded(sides: Sequence[DataFrame], place: Sequence[str], limit: int) -> DataFrame:
+    """The crowded cells, all of them, with the cuts they deserve; one side stands for both."""
+    met = sides[0].select(*place, F.lit(1).alias("na"), F.lit(0).alias("nb"))
+    if len(sides) > 1:
+        met = met.unionByName(sides[1].select(*place, F.lit(0).alias("na"), F.lit(1).alias("nb")))
+    second = F.sum("nb") if len(sides) > 1 else F.sum("na")
+    met = met.groupBy(*place).agg(F.sum("na").alias("na"), second.alias("nb"))
     pairs = F.col("na").cast("double") * F.col("nb")
     # A power of two, so that the finer grid lines add up to the cell exactly.
     halvings = F.ceil(F.log2(F.sqrt(F.greatest("na", "nb") / F.lit(TARGET_PIECES))))
-    cuts = F.pow(F.lit(2.0), F.greatest(halvings, F.lit(1)))
-    return met.where(pairs > limit).select(*place, cuts.cast("int").alias("cuts"))
+    more = F.pow(F.lit(2.0), F.least(F.greatest(halvings, F.lit(LEAST_HALVINGS)), F.lit(MOST_HALVINGS)))
+    crowded = met.where((pairs > limit) & (F.greatest("na", "nb") > FEW_PIECES) & (F.col("cuts") < FINEST_CUTS))
+    return crowded.select(*place, more.cast("int").alias("more"))
+
 
+def _levelled(
+    sides: Sequence[DataFrame], keep: Sequence[Sequence[str]], place: Sequence[str], cell: float, limit: int
+) -> tuple[list[DataFrame], list[str]]:
+    """The sides with their crowded cells cut again and again, and what names a cell from then on.
 
-def _refined(
-    a: DataFrame, b: DataFrame, keep: tuple[Sequence[str], Sequence[str]], place: Sequence[str], cell: float, limit: int
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with their crowded cells cut again, and what names a cell from then on."""
-    crowded = _crowded(a, b, place, limit)
-    finer = [_refine(tiles, crowded, names, place, cell) for tiles, names in zip((a, b), keep, strict=True)]
-    return finer[0], finer[1], [*place, "cuts", "fc", "fr"]
+    Level by level: whatever still meets in more than ``limit`` pairs is cut once more, so pieces that crowd one corner end
+    in cells that fit them. All sides are cut alike; one side stands for both.
+    """
+    place = [*place, *PARTS]
+    sides = [_whole(side) for side in sides]
+    while True:
+        crowded = cut_lineage(_crowded(sides, place, limit))
+        if crowded.isEmpty():
+            return sides, place
+        sides = [
+            cut_lineage(_refine(side, crowded, names, place, cell)) for side, names in zip(sides, keep, strict=True)
+        ]
 
 
 def _common(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -274,7 +306,7 @@ def _overlap_of_tiles(
     a: DataFrame, b: DataFrame, cell: float, zone: str, system: str, within: list[str], crowded_pairs: int
 ) -> DataFrame:
     a, b = a.withColumnRenamed("id", zone), b.withColumnRenamed("id", system)
-    a, b, place = _refined(a, b, ([*within, zone], [*within, system]), [*within, "c", "r"], cell, crowded_pairs)
+    (a, b), place = _levelled([a, b], [[*within, zone], [*within, system]], [*within, "c", "r"], cell, crowded_pairs)
     shared = _sum_common(a, b, place, [*within, zone, system])
     return shared.where(F.col("overlap_area") > 0)
 
@@ -306,7 +338,7 @@ def self_overlap(edges: DataFrame, cell: float, crowded_pairs: int = CROWDED_PAI
     themselves, show a positive one.
     """
     pieces = cut_lineage(tile(edges, cell))
-    pieces, _, place = _refined(pieces, pieces, (["id"], ["id"]), ["id", "c", "r"], cell, crowded_pairs)
+    (pieces,), place = _levelled([pieces], [["id"]], ["id", "c", "r"], cell, crowded_pairs)
     squared = _sum_common(pieces, pieces, place, ["id"])
     return polygon_area(edges).join(squared, "id", "left").select(
         "id", "area", (F.coalesce("overlap_area", F.lit(0.0)) - F.col("area")).alias("excess")
@@ -336,6 +368,34 @@ def _piece_area() -> Column:
     return F.col("s") * (F.col("xr") - F.col("xl")) * (F.col("yl") + F.col("yr")) / 2
 
 
+def _suspect_cells(pieces: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """Cells in which a point may count other than once, told by one aggregation.
+
+    A cell with one piece of width, +1 and of an outer ring, is sound; so is one in which a piece of -1, of the same ring or of
+    a hole in it, lies below that piece over all its width. These are nearly all cells of a sound polygon.
+    """
+    wide, plus = F.col("xl") < F.col("xr"), F.col("s") > 0
+    piece = F.struct("part", "ring", _is_hole().alias("hole"), *PIECE[1:])
+    found = pieces.where(wide).groupBy(*cells).agg(
+        F.sum(plus.cast("int")).alias("n_plus"),
+        F.sum((~plus).cast("int")).alias("n_minus"),
+        F.max(F.when(plus, piece)).alias("p"),
+        F.max(F.when(~plus, piece)).alias("m"),
+    )
+
+    def upper(x: Column) -> Column:
+        p = {n: F.col(f"p.{n}") for n in PIECE[1:]}
+        return p["yl"] + (p["yr"] - p["yl"]) * ((x - p["xl"]) / (p["xr"] - p["xl"]))
+
+    same_part = F.col("p.part").eqNullSafe(F.col("m.part"))
+    of_it = same_part & (F.col("m.hole") | F.col("p.ring").eqNullSafe(F.col("m.ring")))
+    under = (F.col("p.xl") <= F.col("m.xl")) & (F.col("m.xr") <= F.col("p.xr"))
+    under &= (upper(F.col("m.xl")) >= F.col("m.yl")) & (upper(F.col("m.xr")) >= F.col("m.yr"))
+    sound = (F.col("n_plus") == 1) & ~F.col("p.hole")
+    sound &= (F.col("n_minus") == 0) | ((F.col("n_minus") == 1) & of_it & under)
+    return found.where(~sound).select(*cells)
+
+
 def _doubled_cells(pieces: DataFrame, cell: float, by: Sequence[str]) -> DataFrame:
     """The cells (by..., c, r) in which a ring, a part or the whole does not count its points exactly once.
 
@@ -343,7 +403,8 @@ def _doubled_cells(pieces: DataFrame, cell: float, by: Sequence[str]) -> DataFra
     lobe that counts as -1 in one part can hide under another part.
     """
     cells = [*by, "c", "r"]
-    fine, _, place = _refined(pieces, pieces, ([*by, *LABELS], [*by, *LABELS]), cells, cell, CROWDED_PAIRS)
+    pieces = cut_lineage(pieces.join(_suspect_cells(pieces, cells), cells, "left_semi"))
+    (fine,), place = _levelled([pieces], [[*by, *LABELS]], cells, cell, CROWDED_PAIRS)
     met = _met(fine, fine, place, LABELS)
     same_part = F.col("a_part").eqNullSafe(F.col("b_part"))
     same_ring = same_part & F.col("a_ring").eqNullSafe(F.col("b_ring"))
@@ -410,9 +471,8 @@ def _united(pieces: DataFrame, doubled: DataFrame, cell: float, by: Sequence[str
     """
     cells = [*by, "c", "r"]
     ours = pieces.join(doubled.select(*cells), cells, "left_semi")
-    fine = _refine(ours, _crowded(ours, ours, cells, UNITED_PAIRS), [*by, *LABELS], cells, cell)
-    place = [*cells, "cuts", "fc", "fr"]
-    strips = _strips(cut_lineage(fine), place, LABELS)
+    (fine,), place = _levelled([cut_lineage(ours)], [[*by, *LABELS]], cells, cell, UNITED_PAIRS)
+    strips = _strips(fine, place, LABELS)
     s = F.col("s")
     rings = _borders(strips, [*place, *LABELS], [s], lambda n: n != 0)
     outer_and_holes = [F.when(_is_hole(), 0).otherwise(s), F.when(_is_hole(), s).otherwise(0)]
@@ -447,6 +507,8 @@ def counted_once(edges: DataFrame, cell: float, by: Sequence[str] = ("id",)) ->
     labelled = edges.withColumns({n: F.lit(0) for n in LABELS if n not in edges.columns})
     pieces = cut_lineage(tile(labelled, cell, [*by, *LABELS]))
     doubled = cut_lineage(_doubled_cells(pieces, cell, by))
+    if doubled.isEmpty():
+        return pieces.select(*cells, *PIECE), polygon_area(edges).select("id", "area")
     united = cut_lineage(_united(pieces, doubled, cell, by))
     calm = pieces.join(doubled.select(*cells), cells, "left_anti")
     changes = united.select("id", _piece_area().alias("__change")).unionByName(doubled.select("id", (-F.col("area")).alias("__change")))
@@ -521,6 +583,66 @@ def overlay(
     )[0]
 
 
+# Pixel rows whose values are summed up in one block.
+SUM_BLOCK = 4096
+
+
+def pixel_cover(zones: DataFrame, size: float, by: Sequence[str] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """Which pixels polygons cover, without a row for each inner one.
+
+    Returns the pixels that an outline passes through, (by..., c, r, area), and runs of whole ones,
+    (by..., c, low, high, s): in column c all rows from low to high, covered s times. Both grow with the outline.
+    """
+    by = list(by)
+    side = F.lit(float(size))
+    columns = _cut_columns(_pieces(zones, by), by, side)
+    parts = _cut_rows(columns, by, side)
+    piece = F.col("s") * (F.col("xr") - F.col("xl")) * (F.col("yl") + F.col("yr")) / 2
+    touched = parts.groupBy(*by, "c", "r").agg(F.sum(piece).alias("__area"), F.sum(F.abs(piece)).alias("__terms"))
+    crossed = _left_crossings(columns, by, side)
+    none = F.lit(None).cast("double")
+    events = crossed.select(*by, "c", F.col("__row").alias("r"), "__s", none.alias("__area"), none.alias("__terms")).unionByName(
+        touched.select(*by, "c", "r", F.lit(0).cast("bigint").alias("__s"), "__area", "__terms")
+    )
+    events = events.groupBy(*by, "c", "r").agg(*(F.sum(n).alias(n) for n in ("__s", "__area", "__terms")))
+    downwards = Window.partitionBy(*by, "c").orderBy(F.desc("r"))
+    upto = F.sum("__s").over(downwards.rowsBetween(Window.unboundedPreceding, 0))
+    seen = events.withColumns({"__upto": upto, "__next": F.lead("r").over(downwards)})
+    # The lid of a row is what was crossed above it.
+    whole = (F.col("__upto") - F.col("__s")) * float(size) ** 2
+    area, terms = F.coalesce("__area", F.lit(0.0)) + whole, F.coalesce("__terms", F.lit(0.0)) + F.abs(whole)
+    edge = seen.select(*by, "c", "r", area.alias("area"), terms.alias("__terms"))
+    edge = edge.where(F.col("area") > ROUNDING * F.col("__terms")).drop("__terms")
+    runs = seen.where((F.col("__upto") > 0) & (F.col("__next") < F.col("r") - 1)).select(
+        *by, "c", (F.col("__next") + 1).alias("low"), (F.col("r") - 1).alias("high"), F.col("__upto").alias("s")
+    )
+    return edge, runs
+
+
+def _sums_upto(pixels: DataFrame, asked: DataFrame, keep: Sequence[str], value: str) -> DataFrame:
+    """For each asked (keep..., c, r) the sum and the number of the pixels (c, r, value) of column c in rows up to r.
+
+    Rows are summed within blocks, and the blocks' totals along the column, so that no window spans a whole column.
+    """
+    none = {k: asked.schema[k].dataType for k in keep}
+    both = pixels.select(
+        *(F.lit(None).cast(t).alias(k) for k, t in none.items()), "c", "r", F.col(value).cast("double").alias("__v"), F.lit(1).alias("__n")
+    ).unionByName(asked.select(*keep, "c", "r", F.lit(0.0).alias("__v"), F.lit(0).alias("__n")))
+    both = both.withColumn("__block", F.floor(F.col("r") / SUM_BLOCK))
+    inside = Window.partitionBy("c", "__block").orderBy("r")
+    inside = inside.rangeBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"__sum": F.sum("__v").over(inside), "__count": F.sum("__n").over(inside)}).where("__n = 0")
+    blocks = both.groupBy("c", "__block").agg(F.sum("__v").alias("__v"), F.sum("__n").alias("__n"))
+    before = Window.partitionBy("c").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("c", "__block", F.sum("__v").over(before).alias("__v0"), F.sum("__n").over(before).alias("__n0"))
+    met = seen.drop("__v", "__n").join(blocks, ["c", "__block"])
+    return met.select(
+        *keep,
+        (F.col("__sum") + F.coalesce("__v0", F.lit(0.0))).alias("sum"),
+        (F.col("__count") + F.coalesce("__n0", F.lit(0))).alias("count"),
+    )
+
+
 def zonal_mean(
     zones: DataFrame, pixels: DataFrame, size: float, value: str = "value",
     x0: float = 0.0, y0: float = 0.0, zone: str = "zone_id",
@@ -529,23 +651,32 @@ def zonal_mean(
 
     ``pixels`` holds (px, py, value), pixel (0, 0) having its lower left corner at
     (x0, y0). Zones are cut on the pixel grid itself, so pixels are never turned
-    into polygons: one equi-join on the pixel position. Missing pixels are skipped.
+    into polygons. Pixels on the outline are joined by position; inner ones are taken as runs, whose sums are
+    differences of running sums along the pixel columns. Missing pixels are skipped.
     """
     moved = zones.withColumns(
         {c: F.col(c) - F.lit(x0 if c[0] == "x" else y0) for c in ("x1", "y1", "x2", "y2")}
     )
-    inside = cell_areas(tile(moved, size))
+    edge, runs = pixel_cover(moved, size)
     known = pixels.where(F.col(value).isNotNull()).select(
         F.col("px").cast("bigint").alias("c"), F.col("py").cast("bigint").alias("r"), value
     )
-    return (
-        inside.join(known, ["c", "r"])
-        .groupBy(F.col("id").alias(zone))
-        .agg(
-            (F.sum(F.col(value) * F.col("area")) / F.sum("area")).alias("mean"),
-            F.count(F.lit(1)).alias("n_pixels"),
-        )
+    at_edge = edge.join(known, ["c", "r"]).select(
+        "id", (F.col(value) * F.col("area")).alias("sum"), "area", F.lit(1).cast("bigint").alias("n")
+    )
+    ends = F.array(
+        F.struct(F.lit(1).alias("sign"), F.col("high").alias("r")),
+        F.struct(F.lit(-1).alias("sign"), (F.col("low") - 1).alias("r")),
+    )
+    asked = runs.select("id", "c", "s", F.explode(ends).alias("e")).select("id", "c", "s", "e.sign", "e.r")
+    weight = F.col("sign") * F.col("s") * float(size) ** 2
+    within = _sums_upto(known, asked, ["id", "s", "sign"], value).select(
+        "id", (weight * F.col("sum")).alias("sum"), (weight * F.col("count")).alias("area"), (F.col("sign") * F.col("count")).alias("n")
+    )
+    sums = at_edge.unionByName(within).groupBy(F.col("id").alias(zone)).agg(
+        (F.sum("sum") / F.sum("area")).alias("mean"), F.sum("n").alias("n_pixels")
     )
+    return sums.where("n_pixels > 0")
 
 
 REGIONS = ["contiguous", *NON_CONTIGUOUS_FIPS.values()]

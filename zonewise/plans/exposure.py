@@ -114,7 +114,7 @@ def system_exposure(
     """Measurements weighted over the tracts a system serves, per system.
 
     Each (tract, system) weighs in with its capped share of the system's served population; a system without
-    any value sums to 0. Flags are passed through.
+    any value sums to 0. The flags of repeated measurement rows are combined.
     """
     found_values, found_flags = measure_columns(measures, system)
     values = list(found_values if values is None else values)
@@ -136,7 +136,9 @@ def system_exposure(
         "capture_rate",
         "inclusion_flag",
     )
-    return summed.join(measures.select(system, *flags), system, "left")
+    if not flags:
+        return summed
+    return summed.join(measures.groupBy(system).agg(*across(flags, any_detect)), system, "left")
 
 
 def review_exposure(served: DataFrame, medians: DataFrame, system: str = "pwsid") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: safe to apply to a session somebody else built.
@@ -24,17 +26,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliably checkpoint ``df`` in the folder the session names for it.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``, set as its checkpoint folder.
 
-    A result used several times is then computed once, and a lost executor costs
-    no recomputation. Sessions that name no folder (``spark.checkpoint.dir``) get
-    ``df`` back as it is.
+    A local session that names none gets a temporary one. On a cluster that would be another folder on each machine,
+    so it is an error there.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            return df
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="zonewise-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliably checkpoint ``df``: a result used several times is computed once, and a lost executor costs no recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
