@@ -82,7 +82,16 @@ def test_null_and_repeated_ids(docs):
     )
     kept = neardup.keep_one(docs(rows))
     assert kept.columns == docs(rows).columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 4, 5]
+    # The text of 9 that is like no other stays, and so does one row of the copies: that of the smallest id.
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 9]
+
+
+def test_keep_one_loses_no_text_of_its_own(docs):
+    a, b, c = ("a b c d e f g h", "one two three four five six", "uno dos tres cuatro cinco seis")
+    rows = [(1, a), (1, b), (7, b), (None, c), (None, c), (None, ""), (None, None), (1, "")]
+    kept = [(r.doc_id, r.text) for r in neardup.keep_one(docs(rows).repartition(3)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, c), (None, ""), (None, None), (1, "")], key=str)
+    assert neardup.keep_one(docs([])).collect() == []
 
 
 def test_no_documents(docs):

@@ -316,13 +316,20 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The documents with one of each group of near-duplicates: the row of its smallest doc_id.
+    """The documents with one of each group of near-duplicates: the row of its smallest doc_id (a null one comes last).
 
-    Of rows with one doc_id the one with the smallest text stays. Rows with a null doc_id all stay.
+    A document is its doc_id and text together: rows of one doc_id with different texts are compared like any others, so
+    no text is lost that is like no other. Of rows that agree in both one stays, those without doc_id too.
     """
-    kept = near_duplicates(docs, **settings).where("kept and doc_id is not null").select("doc_id").distinct()
-    struct = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("id"))
-    named = struct.join(kept.withColumnRenamed("doc_id", "id"), "id")
-    # Partitioned by id already: the numbering needs no further exchange.
-    first = named.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("row.text")))
-    return first.where("nth = 1").select("row.*").union(docs.where("doc_id is null"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    node = F.xxhash64(docs["doc_id"].cast("string"), F.lit("/"), docs["text"])
+    named = docs.select(row.alias("row"), node.alias("node"))
+    found = near_duplicates(docs.select(node.alias("doc_id"), docs["text"]), **settings)
+    group = found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")).distinct()
+    ids = named.select("node", F.col("row.doc_id").cast("bigint").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    first = group.join(ids, "node").groupBy("group").agg(F.min_by("node", order).alias("node")).select("node")
+    kept = named.join(first, "node")
+    # Rows of one node agree in doc_id and text but for equal hashes, which lose no row here.
+    same = Window.partitionBy("node", "row.doc_id", "row.text").orderBy(F.xxhash64("row"))
+    return kept.withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row.*")
