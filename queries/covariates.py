@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from queries.views import Views, with_views
 from queries.weighting import rounded, settled, sql_rounded, tract_table
+from zonewise import contract
 from zonewise.functions import ids, text
 from zonewise.operators import covariates
 from zonewise.plans import tables
@@ -147,6 +148,11 @@ def final_analytic(v: Views) -> DataFrame:
     return settled(rounded(out, **digits), ndvi_mean=3)
 
 
+def final_violations(v: Views) -> DataFrame:
+    """What the final table breaks of its column contract."""
+    return contract.violations(tables.final_analytic(tract_table(v), covariate_table(v)), contract.final_fields(), partial=True)
+
+
 QUERIES = {
     "ratio_measures": lambda v: rounded(demographics(v), **DEMO_DIGITS),
     "density": density,
@@ -158,6 +164,7 @@ QUERIES = {
     "covariate_reduce": covariate_reduce,
     "covariate_table": lambda v: settled(rounded(covariate_table(v), **DEMO_DIGITS), NDVI_mean=3),
     "final_analytic": final_analytic,
+    "final_violations": final_violations,
 }
 
 # "order_tract" gives each order its tract; tracts without orders have no demographics.
@@ -203,6 +210,23 @@ select *, try_cast(regexp_extract(est, '([0-9]+[.]?[0-9]*)[ ]*[(]', 1) as double
        right(county, 2) as state_abb
 from interval_text"""
 
+_SHARES = {
+    "cws_coverage_proportion": "pws_coverage_proportion", "prop_no_cws": "prop_no_pws",
+    **{c.lower(): f'"{c}"' for c in ("RACE_WHITENH", "RACE_BLACKNH", "RACE_ASIANNH", "RACE_HISP", "RACE_MULTIPLENH", "RACE_OTHERNH", "POV_ALLAGE", "PCT_HSPLUS")},
+}
+_BROKEN = {
+    **{(c, "malformed"): f"count(*) filter ({e} < 0 or {e} > 1)" for c, e in _SHARES.items()},
+    **{(f"{c}_detectcws", "malformed"): f"count(*) filter ({c}_detectpws not in (0, 1))" for c in ("dcpa", "pfoa_35")},
+    ("n_cws_ucmr", "malformed"): "count(*) filter (n_pws_ucmr <> floor(n_pws_ucmr))",
+    ("race_total_e", "malformed"): """count(*) filter ("race_totalE" <> floor("race_totalE"))""",
+    ("tract_geoid", "malformed"): "count(*) filter (not regexp_full_match(tract_geoid, '[0-9]{11}'))",
+    ("co_geoid", "malformed"): "count(*) filter (not regexp_full_match(co_geoid, '[0-9]{5}'))",
+    ("tract_geoid", "null"): "count(*) - count(tract_geoid)",
+}
+FINAL_ROWS = """
+select * from exposure left join covars using (tract_geoid)
+where pws_coverage_proportion >= 0.5 and not cast(substr(tract_geoid, 6) as integer) between 980000 and 989999"""
+
 ORACLES = {
     "ratio_measures": with_views(f"select {_REPLACED}) from demo", **COVAR_CTES),
     "density": with_views("""
@@ -240,4 +264,9 @@ select lpad(cast(user_id as string), 11, '0') as "FIPS", round(avg(value), 6) as
         + """ from exposure left join covars using (tract_geoid)
 where pws_coverage_proportion >= 0.5
   and not cast(substr(tract_geoid, 6) as integer) between 980000 and 989999""", **COVAR_CTES),
+    "final_violations": with_views("".join(
+        f"""select '{column}' as "column", '{rule}' as rule, {count}::bigint as n from final_rows union all """
+        for (column, rule), count in _BROKEN.items()) + """
+select 'tract_geoid', 'repeated', coalesce(sum(n), 0)::bigint
+from (select count(*) as n from final_rows group by tract_geoid having count(*) > 1)""", **COVAR_CTES, final_rows=FINAL_ROWS),
 }
