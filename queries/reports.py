@@ -16,7 +16,8 @@ from zonewise.functions.columns import cols, rename_by_pattern, tag_by_stem
 from zonewise.functions.numeric import round_numeric, zero_fill
 from zonewise.operators import checks, coverage, overlay, reshape
 from zonewise.operators.quantiles import exact_medians
-from zonewise.plans import tables
+from zonewise.plans import exposure, tables
+from zonewise.session import cut_lineage
 
 FLAGS = ["dcpa_detectpws", "pfoa_35_detectpws"]
 VALUES = ["dcpa_medpws_weighted", "dcpa_maxpws_weighted", "pfoa_35_medpws_weighted"]
@@ -92,7 +93,8 @@ def _with_arms(v: Views) -> DataFrame:
             for r in ARM_NAMES
         ),
     )
-    return coverage.with_arms(tract_table(v), served(v), known, ARM_NAMES)
+    once = cut_lineage(served(v))
+    return coverage.with_arms(exposure.tract_exposure(once, v.measures(), v.tract()), once, known, ARM_NAMES)
 
 
 def retention_by_state(v: Views) -> DataFrame:

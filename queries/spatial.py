@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from zonewise.operators import outlines
 from zonewise.operators import overlay as o
 from zonewise.operators import weights
 from zonewise.plans import exposure
+from zonewise.session import checkpoint_folder
 from zonewise.sources import wkb
 
 CELL = 16.0
@@ -76,6 +79,15 @@ def pairs_of_boxes(v: Views) -> DataFrame:
     return rounded(o.overlap_area(zones(v), systems(v), CELL), overlap_area=4)
 
 
+def stored_overlap(v: Views) -> DataFrame:
+    """Both sides cut once and kept in buckets of cells, then met where they lie."""
+    run = uuid.uuid4().hex[:12]
+    sides = {f"zone_tiles_{run}": zones(v), f"system_tiles_{run}": systems(v)}
+    for name, edges in sides.items():
+        o.store_tiles(edges, CELL, name, f"{checkpoint_folder(v.spark)}/{name}", buckets=8)
+    return rounded(o.overlap_of_stored(v.spark, *sides, CELL), overlap_area=4)
+
+
 def overlay_pairs(v: Views) -> DataFrame:
     return o.overlay(
         zones(v), systems(v), CELL, v.zone_boxes().select("zone_id", "pop"), v.system_boxes().select("pwsid", "w", "h")
@@ -250,6 +262,7 @@ QUERIES = {
     "bounding_box": lambda v: rounded(g.bbox(diamonds(v)), xmin=4, ymin=4, xmax=4, ymax=4),
     "normalize_rings": normalized_boxes,
     "overlap_area": pairs_of_boxes,
+    "stored_overlap": stored_overlap,
     "spatial_overlay": lambda v: rounded(overlay_pairs(v), overlap_area=4, zone_area=4, system_area=4),
     "overlay_of_duplicates": overlay_of_duplicates,
     "overlay_polygons": lambda v: settled(o.overlap_area(zones(v), diamonds(v), CELL), overlap_area=4),
@@ -336,6 +349,8 @@ from system_boxes"""),
     "normalize_rings": with_views("select pwsid as id, 0 as part, round(w * h, 6) as area from system_boxes"),
     "overlap_area": with_views(
         "select zone_id, pwsid, round(overlap_area, 4) as overlap_area from box_pairs", box_pairs=BOX_PAIRS),
+    "stored_overlap": with_views(
+        "select zone_id, pwsid, round(overlap_area, 4) as overlap_area from box_pairs", box_pairs=BOX_PAIRS),
     "spatial_overlay": with_views("""
 select zone_id, pwsid, round(overlap_area, 4) as overlap_area, round(zone_area, 4) as zone_area, pop,
        round(system_area, 4) as system_area, w, h from box_pairs""", box_pairs=BOX_PAIRS),

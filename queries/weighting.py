@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from queries.views import Views, with_views
 from zonewise.operators import checks, weights
 from zonewise.operators.aggregate import any_detect, strict_max
 from zonewise.plans import exposure
+from zonewise.session import checkpoint_folder
 
 
 def served(v: Views) -> DataFrame:
@@ -69,6 +72,15 @@ def weight_audit(v: Views) -> DataFrame:
     return settled(out, value=4, wgt=4, wgt_sum=4, wgt_normalized=6, bg_wgt_pop=4, bg_wgt_norm_pop=4)
 
 
+def written_audit(v: Views) -> DataFrame:
+    """Audit figures observed while the served population is written, beside totals of the table as written."""
+    path = f"{checkpoint_folder(v.spark)}/served-{uuid.uuid4().hex[:12]}"
+    table, figures = exposure.write_served_population(v.bg_pws(), v.measures(), path)
+    totals = table.agg(F.count(F.lit(1)).alias("n_written"), F.sum("bg_wgt_pop").alias("pop_written"))
+    out = totals.withColumns({name: F.lit(value) for name, value in figures.items()})
+    return rounded(out, max_wgt_sum=6, pop_uncapped=1, pop_capped=1, pop_served=1, pop_written=1)
+
+
 def legacy_cap(v: Views) -> DataFrame:
     out = weights.legacy_cap(pairs(v), v.tract())
     return rounded(out, ct_pop_pws=4, tract_total_pop=2, ct_pop_pws_relevel=4, diff=4)
@@ -139,6 +151,7 @@ QUERIES = {
     "tract_exposure_wide": tract_exposure_wide,
     "areal_weights": areal_weights,
     "weight_audit": weight_audit,
+    "written_audit": written_audit,
     "legacy_cap": legacy_cap,
     "eligible_systems": lambda v: weights.eligible_systems(v.measures(), v.bg_pws()),
     "dedupe_pairs": pairs,
@@ -193,6 +206,13 @@ select geoid, pwsid, round(value + 1e-7, 4) as value, round(wgt + 1e-7, 4) as wg
        round(wgt_normalized + 1e-9, 6) as wgt_normalized, round(value * wgt + 1e-7, 4) as bg_wgt_pop,
        round(bg_wgt_pop + 1e-7, 4) as bg_wgt_norm_pop
 from weighted where wgt_sum > 1"""),
+    "written_audit": with_views("""
+select n_written, round(pop_written, 1) as pop_written, n_pairs, n_capped, round(max_wgt_sum, 6) as max_wgt_sum,
+       round(pop_uncapped, 1) as pop_uncapped, round(pop_capped, 1) as pop_capped, round(pop_served, 1) as pop_served, n_unweighted
+from (select count(*) as n_written, sum(bg_wgt_pop) as pop_written from served),
+     (select count(*) as n_pairs, count(*) filter (wgt_sum > 1) as n_capped, max(wgt_sum) as max_wgt_sum,
+             sum(value * wgt) filter (wgt_sum > 1) as pop_uncapped, sum(bg_wgt_pop) filter (wgt_sum > 1) as pop_capped,
+             sum(bg_wgt_pop) as pop_served, count(*) - count(bg_wgt_pop) as n_unweighted from weighted)"""),
     "legacy_cap": with_views("select " + sql_rounded(
         "tract_geoid, n_pws", ct_pop_pws=4, tract_total_pop=2, ct_pop_pws_relevel=4, diff=4) + " from legacy",
         legacy=LEGACY),

@@ -216,3 +216,25 @@ def test_inner_pixels_are_runs(spark):
     want = {r.id: (pytest.approx(r["mean"], rel=1e-9), r.n) for r in want.collect()}
     got = {r.zone_id: (r["mean"], r.n_pixels) for r in o.zonal_mean(given, pixels, 1.0).collect()}
     assert got == want and got["big"][1] > 50_000
+
+
+@pytest.mark.parametrize("limit", [o.CROWDED_PAIRS, 40], ids=["calm", "crowded"])
+def test_stored_tiles_meet_where_they_lie(spark, tmp_path, limit):
+    rng = random.Random(4)
+    z = edges(spark, [r for i in range(12) for r in polygon(f"z{i}", box(rng.uniform(0, 40), rng.uniform(0, 40), 9, 7))])
+    s = edges(spark, [r for i in range(12) for r in polygon(f"s{i}", box(rng.uniform(0, 40), rng.uniform(0, 40), 8, 12))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, side in (("stored_z", z), ("stored_s", s)):
+            o.store_tiles(side, 20.0, name, f"{tmp_path}/{name}", buckets=3)
+        found = o.overlap_of_stored(spark, "stored_z", "stored_s", 20.0, crowded_pairs=limit)
+        got = {(r.zone_id, r.pwsid): r.overlap_area for r in found.collect()}
+        plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+        if limit == o.CROWDED_PAIRS:
+            assert "Exchange hashpartitioning(zone_id" in plan and "Exchange hashpartitioning(c" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table if exists stored_z")
+        spark.sql("drop table if exists stored_s")
+    want = {(r.zone_id, r.pwsid): r.overlap_area for r in o.overlap_area(z, s, 20.0).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()} and len(got) > 5

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonewise.functions.ids import state_of
@@ -296,7 +296,11 @@ def _met(a: DataFrame, b: DataFrame, place: Sequence[str], labels: Sequence[str]
 
 
 def _sum_common(a: DataFrame, b: DataFrame, place: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    sums = _met(a, b, place).groupBy(*keys).agg(
+    return _summed(_met(a, b, place), keys)
+
+
+def _summed(met: DataFrame, keys: Sequence[str]) -> DataFrame:
+    sums = met.groupBy(*keys).agg(
         F.sum("__signed").alias("overlap_area"), F.sum(F.abs("__common")).alias("__terms")
     )
     return sums.where(F.abs("overlap_area") > ROUNDING * F.col("__terms")).drop("__terms")
@@ -331,6 +335,47 @@ def overlap_area(
     return _overlap_of_tiles(a, b, cell, zone, system, within, crowded_pairs)
 
 
+def store_tiles(
+    edges: DataFrame, cell: float, table: str, path: str, by: Sequence[str] = ("id",), buckets: int = 200
+) -> None:
+    """Cut polygons once and keep the pieces as a table in buckets of cells, for any number of overlays.
+
+    Each bucket is one file, sorted by cell. Tables that are to meet need one ``cell`` and one number of buckets.
+    """
+    dealt = tile(edges, cell, by).repartition(buckets, "c", "r")
+    stored = dealt.write.mode("overwrite").format("parquet").option("path", path)
+    stored.bucketBy(buckets, "c", "r").sortBy("c", "r").saveAsTable(table)
+
+
+def overlap_of_stored(
+    spark: SparkSession,
+    zones: str,
+    systems: str,
+    cell: float,
+    zone: str = "zone_id",
+    system: str = "pwsid",
+    crowded_pairs: int = CROWDED_PAIRS,
+) -> DataFrame:
+    """``overlap_area`` of two stored sets of tiles. Both are joined where they lie: no exchange below the join.
+
+    Where cells are crowded, those alone are cut again, which deals their pieces anew; the calm ones stay where they are.
+    """
+    a, b = spark.table(zones).withColumnRenamed("id", zone), spark.table(systems).withColumnRenamed("id", system)
+    cells = ["c", "r"]
+    crowded = _crowded([_whole(a), _whole(b)], [*cells, *PARTS], crowded_pairs)
+    crowded = cut_lineage(crowded.select(*cells))
+    labels = [zone, system]
+    if crowded.isEmpty():
+        met = _met(a, b, cells)
+    else:
+        calm = [side.join(crowded, cells, "left_anti") for side in (a, b)]
+        dense = [cut_lineage(side.join(crowded, cells, "left_semi")) for side in (a, b)]
+        fine, place = _levelled(dense, [[zone], [system]], cells, cell, crowded_pairs)
+        added = [*labels, "__signed", "__common"]
+        met = _met(*calm, cells).select(*added).unionByName(_met(*fine, place).select(*added))
+    return _summed(met, labels).where(F.col("overlap_area") > 0)
+
+
 def self_overlap(edges: DataFrame, cell: float, crowded_pairs: int = CROWDED_PAIRS) -> DataFrame:
     """Per polygon: its area, and the area that is covered more than once.
 

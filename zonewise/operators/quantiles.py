@@ -67,8 +67,12 @@ def _wanted(probs: dict[str, float], size: Column) -> Column:
     return F.array(*wanted)
 
 
+def _reached() -> Column:
+    return (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__upto"))
+
+
 def _meet(rows: DataFrame, targets: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Rows with the wanted ranks of their group, a few per group."""
+    """Rows with each of the wanted ranks of their group, a few per group."""
     return join_groups(rows, targets, groups, "inner")
 
 
@@ -93,30 +97,30 @@ def exact_quantiles(
     if not keys:  # one group holding every row
         candidates, keys = candidates.withColumn("__all", F.lit(0)), ["__all"]
 
-    groups, targets = list(keys), None
-    for level, count in enumerate(digits):
-        cell = f"__cell{level}"
-        candidates = candidates.withColumn(cell, _cell(F.col("__v"), count))
-        cells = candidates.groupBy(*groups, cell).agg(F.sum("__n").alias("__n"))
+    cells = [f"__cell{level}" for level in range(len(digits))]
+    candidates = candidates.withColumns(
+        {cell: _cell(F.col("__v"), count) for cell, count in zip(cells, digits, strict=True)}
+    )
+    # Counted once by the cells of all levels; upper levels are sums of that table.
+    counted = candidates.groupBy(*keys, *cells).agg(F.sum("__n").alias("__n"))
+    targets = None
+    for level, cell in enumerate(cells):
+        groups, table = keys + cells[:level], counted
+        if level < len(cells) - 1:
+            table = counted.groupBy(*groups, cell).agg(F.sum("__n").alias("__n"))
         if targets is None:
-            placed = _running(cells, groups, cell).withColumn(
+            placed = _running(table, groups, cell).withColumn(
                 "__size", F.sum("__n").over(Window.partitionBy(*groups))
             )
             inside = placed.withColumn("__t", F.explode(_wanted(probs, F.col("__size"))))
             inside = inside.withColumn("__rank", F.col("__t.rank"))
         else:
-            inside = _meet(_running(cells, groups, cell), targets, groups)
-        inside = inside.where(
-            (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__upto"))
+            inside = _running(_meet(table, targets, groups), [*groups, "__t"], cell)
+        targets = inside.where(_reached()).select(
+            *groups, cell, "__t", (F.col("__rank") - F.col("__before")).alias("__rank")
         )
-        groups = groups + [cell]
-        targets = inside.select(*groups, "__t", (F.col("__rank") - F.col("__before")).alias("__rank"))
-        candidates = join_groups(candidates, targets.select(*groups).distinct(), groups, "left_semi")
-
-    found = (
-        _meet(_running(candidates, groups, "__v"), targets, groups)
-        .where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__upto")))
-    )
+    groups = keys + cells
+    found = _running(_meet(candidates, targets, groups), [*groups, "__t"], "__v").where(_reached())
     picked = []
     for name in probs:
         here = F.col("__t.q") == name

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from zonewise.functions.columns import cols
@@ -31,6 +31,36 @@ def _one_row_per_system(
     )
 
 
+def audit_metrics() -> list[Column]:
+    """Figures over weighted pairs: how many zones' weights are capped, what that takes away, and what is left out."""
+    over = F.col("wgt_sum") > 1
+    return [
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count_if(over).alias("n_capped"),
+        F.max("wgt_sum").alias("max_wgt_sum"),
+        F.sum(F.when(over, F.col("value") * F.col("wgt"))).alias("pop_uncapped"),
+        F.sum(F.when(over, F.col("bg_wgt_pop"))).alias("pop_capped"),
+        F.sum("bg_wgt_pop").alias("pop_served"),
+        F.count_if(F.col("bg_wgt_pop").isNull()).alias("n_unweighted"),
+    ]
+
+
+def write_served_population(
+    overlay: DataFrame, measures: DataFrame, path: str, attributes: DataFrame | None = None
+) -> tuple[DataFrame, dict]:
+    """Write the served population per (tract, system), and audit its weights in the same pass.
+
+    Returns the table as written, and the figures of ``audit_metrics`` over the pairs that went into it. No second scan reads
+    the overlay. Figures of a task that had to run again are counted again: repeat the write where executors were lost.
+    """
+    watch = Observation()
+    pairs = weights.dedupe_pairs(weights.only_eligible(overlay, measures))
+    weighted = weights.areal_weights(pairs).observe(watch, *audit_metrics())
+    served = weights.rollup(weighted, attributes=attributes)
+    served.write.mode("overwrite").parquet(path)
+    return overlay.sparkSession.read.schema(served.schema).parquet(path), watch.get
+
+
 def tract_exposure(
     served: DataFrame,
     measures: DataFrame,
