@@ -15,6 +15,7 @@ conversation in one stream, a row at a time.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,8 +34,8 @@ GIVEN = {"u": "user", "a": "assistant"}
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 # Kinds of rows: sound, blank, duplicate (both must go), truncated.
 SOUND, BLANK, DUPLICATE, CUT = range(4)
-# Rows parsed in one block.
-BLOCK = 1024
+# Rows parsed in one block, and rows of those whose results are remembered.
+BLOCK, SHORT = 1024, 12
 END = "$"
 
 
@@ -220,7 +221,6 @@ def finish(tops: Tops) -> tuple[int, str]:
     return min(v for node, v in _inserted(tops).items() if parser().accepts(node))
 
 
-@lru_cache(maxsize=50_000)
 def block(initials: str, kinds: bytes) -> tuple[tuple[tuple[int, int, str], ...], ...]:
     """For each stack that a block of rows may begin with, the stacks it ends with: (node, cost, audit)."""
     starts = parser().stacks()
@@ -233,6 +233,23 @@ def block(initials: str, kinds: bytes) -> tuple[tuple[tuple[int, int, str], ...]
     return tuple(out)
 
 
+def _pack(initials: str, kinds: bytes) -> str:
+    return json.dumps(block(initials, kinds), separators=(",", ":"))
+
+
+# Short conversations repeat each other; of longer ones nothing is kept, so the memory is bounded.
+_short_pack, _short_unpack = lru_cache(maxsize=4_096)(_pack), lru_cache(maxsize=4_096)(json.loads)
+
+
+def packed_block(initials: str, kinds: bytes) -> str:
+    """``block`` as text."""
+    return (_short_pack if len(kinds) <= SHORT else _pack)(initials, kinds)
+
+
+def unpacked(moves: str) -> list[list[list]]:
+    return (_short_unpack if len(moves) <= 64 * SHORT * SHORT else json.loads)(moves)
+
+
 class Fold:
     """Blocks of a conversation put together in order; what all audits begin with is set aside."""
 
@@ -240,7 +257,8 @@ class Fold:
         self.tops: Tops = {0: (0, "")}
         self.settled: list[str] = []
 
-    def add(self, moves: list[list[tuple[int, int, str]]]) -> None:
+    def add(self, moves) -> None:
+        """``moves`` as ``block`` gives them."""
         out: Tops = {}
         for node, (cost, audit) in self.tops.items():
             for reached, more, letters in moves[node]:
@@ -360,7 +378,6 @@ def _kinds(rows: DataFrame) -> DataFrame:
     return met.select("conv_id", "place", "turn", "initial", kind.cast("int").alias("kind"))
 
 
-_MOVES = "array<array<struct<node:int,cost:bigint,audit:string>>>"
 _COUNTS = ("blank", "duplicate", "truncated", "illegal", "turns")
 _EDGES = ("first_initial", "last_initial")
 _TURNS = ("first_turn", "last_turn")
@@ -388,9 +405,8 @@ class _Block:
         counted = [self.kinds.count(k) for k in (BLANK, DUPLICATE, CUT)]
         pairs = zip(self.initials, self.initials[1:], strict=False)
         # A role without a first character is read as a space, which no rule accepts.
-        moves = block("".join(i or " " for i in self.initials), bytes(self.kinds))
         return {
-            "moves": [[{"node": n, "cost": c, "audit": a} for n, c, a in ends] for ends in moves],
+            "moves": packed_block("".join(i or " " for i in self.initials), bytes(self.kinds)),
             **dict(zip(_COUNTS, (*counted, sum(a + b not in _LEGAL for a, b in pairs), self.turns), strict=True)),
             "first_initial": self.initials[0],
             "last_initial": self.initials[-1],
@@ -405,7 +421,7 @@ def _blocks(kinds: DataFrame) -> DataFrame:
     dealt = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "place")
     conv = kinds.schema["conv_id"].dataType.simpleString()
     schema = (
-        f"conv_id {conv}, place bigint, moves {_MOVES}, {', '.join(f'{c} bigint' for c in _COUNTS)}, "
+        f"conv_id {conv}, place bigint, moves string, {', '.join(f'{c} bigint' for c in _COUNTS)}, "
         f"{', '.join(f'{c} string' for c in _EDGES)}, {', '.join(f'{c} bigint' for c in _TURNS)}"
     )
     out_type = common.arrow_schema(schema)
@@ -444,7 +460,7 @@ class _Conversation:
         self.hash, self.lines = hashlib.sha256(), 0
 
     def add_block(self, b: dict) -> None:
-        self.fold.add([[(e["node"], e["cost"], e["audit"]) for e in ends] for ends in b["moves"]])
+        self.fold.add(unpacked(b["moves"]))
         for c in _COUNTS:
             self.counts[c] += b[c]
         if self.last_initial is not None and self.last_initial + b["first_initial"] not in _LEGAL:
