@@ -56,8 +56,9 @@ ROUNDS = {
 ROUND_OF = {stem: label for label, stems in ROUNDS.items() for stem in stems}
 OTHER_ROUND = "Other"
 
-# Final column names. Round 5 chemicals get "_5"; the first "pws" becomes "cws".
-FINAL_RENAMES = [(r"(fts62|pfba|pfhxa|pfpea)", r"\1_5"), (r"pws", "cws")]
+# Final column names. Chemicals of the PFAS group measured in round 5 alone get "_5"; the first "pws" becomes "cws".
+ROUND_5_ONLY = [stem for stem in ROUNDS["UCMR5"] if stem in CONTAMINANT_GROUPS["PFAS (Simplified)"]]
+FINAL_RENAMES = [(f"({'|'.join(ROUND_5_ONLY)})", r"\1_5"), ("pws", "cws")]
 
 # Size classes of systems by people served.
 POPULATION_CLASSES = {
