@@ -18,18 +18,30 @@ from zonewise.session import checkpoint_folder
 from zonewise.sources import wkb
 
 CELL = 16.0
+BOX = ["x0", "y0", "w", "h"]
 
 
 def boxes(df: DataFrame, key: str) -> DataFrame:
-    return g.box_vertices(df, key, *(F.col(c) for c in ("x0", "y0", "w", "h")))
+    return g.box_vertices(df, key, *(F.col(c) for c in BOX))
+
+
+def box_edges(df: DataFrame, key: str) -> DataFrame:
+    """Boxes as edges, each box a ring of its own.
+
+    The views cut ids to six digits, so from key 1,000,000 on boxes far apart share an id. Linked by id alone, their
+    vertices became one ring with edges from box to box.
+    """
+    vertices = g.box_vertices(df, key, *(F.col(c) for c in BOX), keep=BOX)
+    edges = g.edges_from_vertices(vertices, ["id", *BOX])
+    return edges.select("id", F.lit(0).alias("part"), F.lit(0).alias("ring"), *g.ENDS)
 
 
 def zones(v: Views) -> DataFrame:
-    return g.edges_from_vertices(boxes(v.zone_boxes(), "zone_id"))
+    return box_edges(v.zone_boxes(), "zone_id")
 
 
 def systems(v: Views) -> DataFrame:
-    return g.edges_from_vertices(boxes(v.system_boxes(), "pwsid"))
+    return box_edges(v.system_boxes(), "pwsid")
 
 
 def diamonds(v: Views) -> DataFrame:
@@ -69,7 +81,7 @@ def pieces_of_boxes(v: Views) -> DataFrame:
         "pwsid", "y0", "h", (F.col("w") / 2).alias("w"), F.posexplode(F.array(F.col("x0"), F.col("x0") + F.col("w") / 2)).alias("row", "x0")
     )
     named = halves.withColumn("feature", F.concat_ws("#", "pwsid", "row"))
-    edges = g.edges_from_vertices(boxes(named, "feature"))
+    edges = box_edges(named, "feature")
     return edges.select(
         F.substring_index("id", "#", 1).alias("id"), F.substring_index("id", "#", -1).alias("row"), "part", "ring", *g.ENDS
     )
@@ -128,7 +140,7 @@ def overlap_of_parts(v: Views) -> DataFrame:
         "pwsid", "y0", "w", "h",
         F.posexplode(F.array(F.col("x0"), F.col("x0") + F.col("w") / 4)).alias("row", "x0"),
     ).withColumn("feature", F.concat_ws("#", "pwsid", "row"))
-    edges = g.edges_from_vertices(boxes(twice, "feature")).withColumn("id", F.substring_index("id", "#", 1))
+    edges = box_edges(twice, "feature").withColumn("id", F.substring_index("id", "#", 1))
     flagged = o.invalid_polygons(edges, CELL)
     return rounded(flagged, area=4, excess=4)
 
@@ -139,7 +151,7 @@ def overlay_of_duplicates(v: Views) -> DataFrame:
         "pwsid", "y0", "w", "h",
         F.posexplode(F.array(F.col("x0"), F.col("x0"), F.col("x0") + F.col("w") / 4)).alias("row", "x0"),
     ).withColumn("feature", F.concat_ws("#", "pwsid", "row"))
-    edges = g.edges_from_vertices(boxes(thrice, "feature")).select(
+    edges = box_edges(thrice, "feature").select(
         F.substring_index("id", "#", 1).alias("id"), F.substring_index("id", "#", -1).alias("row"), "part", "ring", *g.ENDS
     )
     pairs = o.overlay(
@@ -189,7 +201,7 @@ def features_of_boxes(v: Views, places: list[tuple[float, float, float, float]])
     each = F.array(*(F.struct(*(c.alias(n) for c, n in zip(box, ("x0", "y0", "w", "h")))) for box in named))
     features = v.system_boxes().select("pwsid", F.posexplode(each).alias("row", "box"))
     features = features.select(F.concat_ws("#", "pwsid", "row").alias("feature"), "box.*")
-    edges = g.edges_from_vertices(boxes(features, "feature"))
+    edges = box_edges(features, "feature")
     return edges.select(
         F.substring_index("id", "#", 1).alias("id"), F.substring_index("id", "#", -1).alias("row"), "part", "ring", *g.ENDS
     )

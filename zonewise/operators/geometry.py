@@ -51,12 +51,14 @@ def edges_from_vertices(vertices: DataFrame, ring_keys: Sequence[str] = ("id", "
     return linked.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
-def box_vertices(df: DataFrame, id: str, x0: Column, y0: Column, width: Column, height: Column) -> DataFrame:
-    """Axis-aligned rectangles as vertex rows."""
+def box_vertices(
+    df: DataFrame, id: str, x0: Column, y0: Column, width: Column, height: Column, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Axis-aligned rectangles as vertex rows; ``keep`` names further columns of ``df`` to carry."""
     corners = [(x0, y0), (x0 + width, y0), (x0 + width, y0 + height), (x0, y0 + height)]
     points = F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners))
-    return df.select(F.col(id).alias("id"), F.posexplode(points).alias("seq", "p")).select(
-        "id", F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", F.col("p.x").alias("x"), F.col("p.y").alias("y")
+    return df.select(F.col(id).alias("id"), *keep, F.posexplode(points).alias("seq", "p")).select(
+        "id", *keep, F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", F.col("p.x").alias("x"), F.col("p.y").alias("y")
     )
 
 
