@@ -54,3 +54,7 @@ def areas(df):
 
 def test_overlap_of_boxes_that_share_an_id(views):
     assert areas(spatial.pairs_of_boxes(views)) == pytest.approx(expected())
+
+
+def test_stored_overlap_of_boxes_that_share_an_id(views):
+    assert areas(spatial.stored_overlap(views)) == pytest.approx(expected())
