@@ -59,12 +59,13 @@ def diamonds(v: Views) -> DataFrame:
             )
         )
         shapes.append(
-            v.system_boxes().select(F.col("pwsid").alias("id"), F.posexplode(points).alias("seq", "p")).select(
-                "id", F.lit(0).alias("part"), F.lit(ring).alias("ring"), "seq", "p.x", "p.y"
+            v.system_boxes().select(F.col("pwsid").alias("id"), *BOX, F.posexplode(points).alias("seq", "p")).select(
+                "id", *BOX, F.lit(0).alias("part"), F.lit(ring).alias("ring"), "seq", "p.x", "p.y"
             )
         )
-    # Both rings are written counter-clockwise; normalize turns the holes.
-    return g.normalize(g.edges_from_vertices(shapes[0].unionByName(shapes[1])))
+    # Both rings are written counter-clockwise; normalize turns the holes. The box names them, as in box_edges.
+    keys = ["id", *BOX, "part", "ring"]
+    return g.normalize(g.edges_from_vertices(shapes[0].unionByName(shapes[1]), keys), keys).drop(*BOX)
 
 
 def normalized_boxes(v: Views) -> DataFrame:
