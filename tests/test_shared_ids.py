@@ -65,3 +65,7 @@ def test_diamonds_that_share_an_id(views):
     # The zones cover both diamonds; each is half its box, less a hole of an eighth.
     assert sum(got.values()) == pytest.approx(sum(0.375 * w * h for _, _, _, w, h in map(system_box, SYSTEMS)), abs=1e-2)
     assert got.keys() <= expected().keys()
+
+
+def test_dissolve_of_boxes_that_share_an_id(views):
+    assert areas(spatial.dissolve(views)) == pytest.approx(expected())
