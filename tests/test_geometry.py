@@ -238,3 +238,20 @@ def test_stored_tiles_meet_where_they_lie(spark, tmp_path, limit):
         spark.sql("drop table if exists stored_s")
     want = {(r.zone_id, r.pwsid): r.overlap_area for r in o.overlap_area(z, s, 20.0).collect()}
     assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()} and len(got) > 5
+
+
+def test_only_what_is_within_reach_is_cut(spark, monkeypatch):
+    cut, tile = [], o.tile
+    monkeypatch.setattr(o, "tile", lambda e, *a: cut.extend(r.id for r in e.select("id").distinct().collect()) or tile(e, *a))
+    far = [row for i in range(5) for row in polygon(f"far{i}", box(0, 1000 * (i + 1), 4, 4))]
+    z = edges(spark, polygon("z", box(0, 0, 4, 4)) + polygon("open", box(2, 2, 4, 4)) + far).where("id <> 'open' or x1 <> x2")
+    s = edges(spark, polygon("s", box(3, 1, 4, 2)) + polygon("away", box(-50, 0, 4, 4)))
+    ids = z.select(F.col("id").alias("zone_id")).distinct(), s.select(F.col("id").alias("pwsid")).distinct()
+    pairs, aside = o.overlay_and_quarantine(z, s, 3.0, *ids)
+    assert [(r.zone_id, r.pwsid, r.overlap_area, r.zone_area) for r in pairs.collect()] == [("z", "s", pytest.approx(2.0), 16.0)]
+    assert {(r.side, r.id) for r in aside.collect()} == {("zone_id", "open")}
+    assert sorted(cut) == ["s", "z"]
+    # By region, and with one that only one side has.
+    there = [e.withColumn("region", F.when(F.col("id").startswith("far"), "HI").otherwise("AK")) for e in (z, s)]
+    pairs, _ = o.overlay_and_quarantine(*there, 3.0, *ids, within=["region"])
+    assert [(r.region, r.zone_id, r.pwsid) for r in pairs.select("region", "zone_id", "pwsid").collect()] == [("AK", "z", "s")]

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from zonewise.functions.ids import state_of
 from zonewise.lookups import NON_CONTIGUOUS_FIPS
 from zonewise.operators.geometry import area as polygon_area
+from zonewise.operators.geometry import bbox
 from zonewise.session import cut_lineage
 
 PIECE = ["s", "xl", "yl", "xr", "yr"]
@@ -577,6 +578,18 @@ def unclosed_polygons(edges: DataFrame, by: Sequence[str] = ("id",)) -> DataFram
     return balance.groupBy(*by).agg(reason.alias("reason")).where("reason is not null")
 
 
+def _within_reach(edges: DataFrame, other: DataFrame, within: Sequence[str]) -> DataFrame:
+    """The polygons whose bounding box meets that of all ``other`` polygons together; no others share area with any."""
+    names = {n: f"__{n}" for n in ("xmin", "ymin", "xmax", "ymax")}
+    extent = F.broadcast(bbox(other, within).withColumnsRenamed(names))
+    by = [*within, "id"]
+    each = bbox(edges, by)
+    met = each.join(extent, list(within)) if within else each.crossJoin(extent)
+    for c in ("x", "y"):
+        met = met.where((F.col(f"{c}min") <= F.col(f"__{c}max")) & (F.col(f"__{c}min") <= F.col(f"{c}max")))
+    return edges.join(met.select(*by), by, "left_semi")
+
+
 def overlay_and_quarantine(
     zones: DataFrame,
     systems: DataFrame,
@@ -588,14 +601,20 @@ def overlay_and_quarantine(
     within: Sequence[str] = (),
     checked: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """``overlay``, and beside it what it had to set aside: (within..., side, id, reason) of outlines that are not closed."""
+    """``overlay``, and beside it what it had to set aside: (within..., side, id, reason) of outlines that are not closed.
+
+    All outlines are looked at for the latter, when it is read; only those within reach of the other side are cut.
+    """
     within = list(within)
     by = [*within, "id"]
     sides, aside = [], []
     for name, edges in ((zone, zones), (system, systems)):
-        unclosed = cut_lineage(unclosed_polygons(edges, by))
-        aside.append(unclosed.select(*within, F.lit(name).alias("side"), F.col("id").cast("string").alias("id"), "reason"))
-        whole = edges.join(unclosed, by, "left_anti")
+        found = unclosed_polygons(edges, by)
+        aside.append(found.select(*within, F.lit(name).alias("side"), F.col("id").cast("string").alias("id"), "reason"))
+    near_zones = cut_lineage(_within_reach(zones, systems, within))
+    near_systems = cut_lineage(_within_reach(systems, near_zones, within))
+    for edges in (near_zones, near_systems):
+        whole = edges.join(cut_lineage(unclosed_polygons(edges, by)), by, "left_anti")
         sides.append((cut_lineage(tile(whole, cell, by)), polygon_area(whole)) if checked else counted_once(whole, cell, by))
     (a, zone_areas), (b, system_areas) = sides
     pairs = _overlap_of_tiles(a, b, cell, zone, system, within, CROWDED_PAIRS)
