@@ -1,5 +1,7 @@
 """The views cut ids to six digits: from key 1,000,000 on boxes far apart share an id. Each stays a ring of its own."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,19 @@ def test_diamonds_that_share_an_id(views):
 
 def test_dissolve_of_boxes_that_share_an_id(views):
     assert areas(spatial.dissolve(views)) == pytest.approx(expected())
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+
+@pytest.mark.parametrize("query", [spatial.stored_overlap])
+def test_steps_that_are_kept_leave_no_shuffle_files(spark, views, query):
+    before = shuffle_files(spark)
+    query(views)
+    for _ in range(50):  # they go shortly after
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left

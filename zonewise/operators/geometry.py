@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonewise.operators.scale import attach_totals, join_groups
+from zonewise.operators.scale import attach_totals
 
 ENDS = ["x1", "y1", "x2", "y2"]
 
@@ -36,17 +36,22 @@ def edges_from_vertices(vertices: DataFrame, ring_keys: Sequence[str] = ("id", "
         "__block", F.floor(F.col("seq") / RING_BLOCK)
     )
     point = F.struct("x", "y")
-    firsts = plain.groupBy(*keys, "__block").agg(F.min_by(point, F.col("seq")).alias("__first"))
+    block = Window.partitionBy(*keys, "__block")
+    inside = block.orderBy("seq")
+    whole_block = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Only the last vertex of a block is dealt anew, with the first one of its block: no vertex is joined with anything.
+    led = plain.withColumns({"__next": F.lead(point).over(inside), "__first": F.min_by(point, F.col("seq")).over(whole_block)})
     onwards = Window.partitionBy(*keys).orderBy("__block")
     whole = onwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entry = firsts.select(
-        *keys, "__block", F.coalesce(F.lead("__first").over(onwards), F.first("__first").over(whole)).alias("__entry")
+    lasts = led.where(F.col("__next").isNull()).withColumn(
+        "__next", F.coalesce(F.lead("__first").over(onwards), F.first("__first").over(whole))
     )
-    inside = Window.partitionBy(*keys, "__block").orderBy("seq")
-    led = join_groups(plain.withColumn("__next", F.lead(point).over(inside)), entry, [*keys, "__block"])
-    end = F.coalesce("__next", "__entry")
-    linked = led.select(
-        *keys, F.col("x").alias("x1"), F.col("y").alias("y1"), end["x"].alias("x2"), end["y"].alias("y2")
+    linked = led.where(F.col("__next").isNotNull()).unionByName(lasts).select(
+        *keys,
+        F.col("x").alias("x1"),
+        F.col("y").alias("y1"),
+        F.col("__next.x").alias("x2"),
+        F.col("__next.y").alias("y2"),
     )
     return linked.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from zonewise.functions.ids import state_of
 from zonewise.lookups import NON_CONTIGUOUS_FIPS
+from zonewise.operators.geometry import ENDS
 from zonewise.operators.geometry import area as polygon_area
 from zonewise.operators.geometry import bbox
-from zonewise.session import cut_lineage
+from zonewise.session import cut_lineage, shuffles_dropped
 
 PIECE = ["s", "xl", "yl", "xr", "yr"]
 # A cell is cut again where the pieces of both sides would meet in more pairs.
@@ -341,11 +342,16 @@ def store_tiles(
 ) -> None:
     """Cut polygons once and keep the pieces as a table in buckets of cells, for any number of overlays.
 
-    Each bucket is one file, sorted by cell. Tables that are to meet need one ``cell`` and one number of buckets.
+    Each bucket is one file, sorted by cell. Tables that are to meet need one ``cell`` and one number of buckets. Edges and lids
+    are kept first, so that what their making shuffled is gone from the disk before all pieces are dealt to the buckets.
     """
-    dealt = tile(edges, cell, by).repartition(buckets, "c", "r")
+    keep, size = list(by), F.lit(float(cell))
+    columns = _cut_columns(_pieces(cut_lineage(edges.select(*keep, *ENDS)), keep), keep, size)
+    lids = cut_lineage(_corner_lids(columns, keep, size, bounded=False))
+    dealt = _cut_rows(columns, keep, size).unionByName(lids).repartition(buckets, "c", "r")
     stored = dealt.write.mode("overwrite").format("parquet").option("path", path)
-    stored.bucketBy(buckets, "c", "r").sortBy("c", "r").saveAsTable(table)
+    with shuffles_dropped(edges.sparkSession):
+        stored.bucketBy(buckets, "c", "r").sortBy("c", "r").saveAsTable(table)
 
 
 def overlap_of_stored(
