@@ -78,7 +78,7 @@ def shuffle_files(spark):
     return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
 
 
-@pytest.mark.parametrize("query", [spatial.stored_overlap])
+@pytest.mark.parametrize("query", [spatial.stored_overlap, spatial.dissolve])
 def test_steps_that_are_kept_leave_no_shuffle_files(spark, views, query):
     before = shuffle_files(spark)
     query(views)
@@ -87,3 +87,14 @@ def test_steps_that_are_kept_leave_no_shuffle_files(spark, views, query):
             break
         time.sleep(0.2)
     assert not left
+
+
+def test_zones_beyond_the_systems_are_not_kept(views):
+    zones, systems = o.tile(spatial.zones(views), spatial.CELL), o.tile(spatial.systems(views), spatial.CELL)
+    low, high = systems.agg(F.min("r"), F.max("r")).first()
+    kept = o._in_range(zones, systems, []).select("id", "c", "r").distinct()
+    assert kept.where(~F.col("r").between(low, high)).isEmpty()
+    cells = systems.select("c", "r").distinct()
+    met = zones.select("id", "c", "r").distinct().join(cells, ["c", "r"])
+    assert met.join(kept, ["id", "c", "r"], "left_anti").isEmpty()
+    assert kept.count() < zones.select("id", "c", "r").distinct().count()

@@ -317,6 +317,16 @@ def _overlap_of_tiles(
     return shared.where(F.col("overlap_area") > 0)
 
 
+def _in_range(tiles: DataFrame, other: DataFrame, within: Sequence[str]) -> DataFrame:
+    """The tiles whose column and row lie between the least and greatest of ``other``; the rest meets nothing there."""
+    ends = {f"__{f.__name__}_{n}": f(n) for n in ("c", "r") for f in (F.min, F.max)}
+    extent = F.broadcast(other.groupBy(*within).agg(*(end.alias(name) for name, end in ends.items())))
+    met = tiles.join(extent, list(within)) if within else tiles.crossJoin(extent)
+    for n in ("c", "r"):
+        met = met.where(F.col(n).between(F.col(f"__min_{n}"), F.col(f"__max_{n}")))
+    return met.select(*tiles.columns)
+
+
 def overlap_area(
     zones: DataFrame,
     systems: DataFrame,
@@ -330,10 +340,12 @@ def overlap_area(
 
     Both inputs are edge tables keyed by ``id``. ``within`` names columns, such as
     the region, that must agree. ``cell`` is best near the usual width of a zone.
-    Pairs that only touch are left out.
+    Pairs that only touch are left out. Of the zones, only what lies in the systems' range of cells is kept.
     """
     within = list(within)
-    a, b = (cut_lineage(tile(side, cell, [*within, "id"])) for side in (zones, systems))
+    by = [*within, "id"]
+    b = cut_lineage(tile(systems, cell, by))
+    a = cut_lineage(_in_range(tile(zones, cell, by), b, within))
     return _overlap_of_tiles(a, b, cell, zone, system, within, crowded_pairs)
 
 
