@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from zonewise.llm import token_files
+from zonewise.llm import common, encoding, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -53,3 +54,29 @@ def test_files_know_their_dictionary(tmp_path):
         assert reader.get(7).tolist() == list(range(50)) and reader.get(9).tolist() == [] and reader.get(8) is None
         with pytest.raises(ValueError, match="another dictionary"):
             token_files.Reader(stream, b"", "<u2")
+
+
+def test_words_are_remembered_once_whatever_their_case_and_marks():
+    made = encoding.Encoder(PATH, False)
+    asked = []
+    encode = made._encode
+    made._encode = lambda strings: asked.extend(strings) or encode(strings)
+    texts = ["The the, THE. née Straße! НЕТ", "née, the\nThe", "", None]
+    got = [ids.tolist() for ids in made.ids(pa.array(texts))]
+    assert got == [Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert set(made.code) == {"the", "née", "straße", "НЕТ", ",", ".", "!", ""}
+    # Words of letters need the library's model alone.
+    assert set(asked) == {",", ".", "!", ""}
+
+
+def test_letters_that_end_in_a_mark_keep_the_marks_behind_them():
+    plain, made = Tokenizer.from_file(PATH), encoding.Encoder(PATH, False)
+    for text in ("x\u0130. y", "\u0958, z", "H\u0331 h\u0331.", "T\u0308x T\u0308x", "\ufb2a-"):
+        assert made.ids([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_small_batches_are_encoded_together():
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array(x, pa.int64())}) for x in ([1], [2, 3], [], [*range(100)], [4], [5])]
+    got = [b.column(0).to_pylist() for b in common.gathered(iter(batches), 200)]
+    assert got == [[1, 2, 3], [*range(100)], [4, 5]]
+    assert list(common.gathered(iter([]), 200)) == []

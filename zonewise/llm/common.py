@@ -60,6 +60,18 @@ def over_batches(
     return df.mapInArrow(run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, small batches put together to ``size`` bytes or little more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and (batch.nbytes >= size or sum(b.nbytes for b in held) >= size):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     """The Arrow form of a DDL schema."""
     return to_arrow_schema(StructType.fromDDL(schema))

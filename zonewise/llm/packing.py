@@ -205,7 +205,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spaces_m
             if not batch.num_rows:
                 continue
             out: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.ids(common.texts(batch.column(1))), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 at, number = 0, 0
                 while at < len(ids):

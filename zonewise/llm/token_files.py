@@ -39,6 +39,8 @@ INDEX = np.dtype([("null_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("siz
 SAMPLE_DOCUMENTS = 1_000
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
+# Bytes of text encoded at once, where a batch has fewer: the more, the fewer distinct words to look up.
+ENCODED_BYTES = 1 << 22
 MANIFEST = "path string, first_id bigint, part int, documents bigint, ids bigint, bytes bigint"
 
 
@@ -151,7 +153,7 @@ def write(
     fs.create_dir(local, recursive=True)
 
     def serialized(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = encoder(tokenizer, spaces_matter).ids(common.texts(batch.column(0)))
+        ids = encoder(tokenizer, spaces_matter).ids(batch.column(0))
         return pa.RecordBatch.from_pydict({"ids": [x.astype(dtype).tobytes()[:SAMPLE_BYTES] for x in ids]})
 
     # The documents with the smallest hashes: chosen on ids alone, then fetched.
@@ -169,8 +171,8 @@ def write(
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids"
         encode = encoder(tokenizer, spaces_matter)
         try:
-            for batch in batches:
-                encoded = encode.ids(common.texts(batch.column(1)))
+            for batch in common.gathered(batches, ENCODED_BYTES):
+                encoded = encode.ids(batch.column(1))
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                     if writer is None:
                         writer, first = Writer(_open(path, write=True), shared.value, dtype), doc_id
