@@ -40,7 +40,7 @@ SAMPLE_DOCUMENTS = 1_000
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
 # Bytes of text encoded at once, where a batch has fewer: the more, the fewer distinct words to look up.
-ENCODED_BYTES = 1 << 22
+ENCODED_BYTES = 1 << 21
 MANIFEST = "path string, first_id bigint, part int, documents bigint, ids bigint, bytes bigint"
 
 
